@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from .registry import QUERIES, SQL
+
+MODULES = ("corpus", "packing", "selection", "ledgers")
+
+
+def _load() -> None:
+    for m in MODULES:
+        import_module(f"{__name__}.{m}")
+
 
 def core_queries():
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def core_sql():
-    return {}
+    _load()
+    return dict(SQL)
