@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, SQL
 
-MODULES = ("corpus", "packing", "selection", "ledgers", "series", "arrays")
+MODULES = ("corpus", "packing", "selection", "ledgers", "series", "arrays", "catalogue", "costs")
 
 
 def _load() -> None:
