@@ -10,9 +10,9 @@ driver holds only pairs, of which there are at most 512 x 512.
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config
+from ..functions.arrow import flat_lists, slices
 from ..functions.hashing import object_hash
 from ..session import written
 
@@ -27,24 +28,30 @@ FIRST_BYTE = len(config.SPECIALS)
 FIRST_MERGE = FIRST_BYTE + 256
 
 
-def to_bytes(text: str) -> list[int]:
-    return [b + FIRST_BYTE for b in unicodedata.normalize("NFC", text).encode("utf-8", "surrogatepass")]
+def merged(ids: np.ndarray, row: np.ndarray, pair: tuple[int, int], new: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences laid end to end (ids, and the row each is of) with each occurrence of pair, from the left and without overlaps, replaced."""
+    a, b = pair
+    hit = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b) & (row[:-1] == row[1:]))
+    if not len(hit):
+        return ids, row
+    if a == b:  # of a run of overlapping occurrences, every second one
+        order = np.arange(len(hit))
+        first = np.maximum.accumulate(np.where(np.r_[True, np.diff(hit) != 1], order, 0))
+        hit = hit[(order - first) % 2 == 0]
+    ids, keep = ids.copy(), np.ones(len(ids), bool)
+    ids[hit] = new
+    keep[hit + 1] = False
+    return ids[keep], row[keep]
 
 
-def merged(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
-    """ids with each occurrence of pair, from the left and without overlaps, replaced."""
-    a, b = pair
-    if a not in ids:
-        return ids
-    out, i, n = [], 0, len(ids)
-    while i < n:
-        if ids[i] == a and i + 1 < n and ids[i + 1] == b:
-            out.append(new)
-            i += 2
-        else:
-            out.append(ids[i])
-            i += 1
-    return out
+def laid_out(texts) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.frombuffer(unicodedata.normalize("NFC", t).encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
+    ids = np.concatenate([*parts, np.empty(0, np.uint8)]).astype(np.int32) + FIRST_BYTE
+    return ids, np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+
+def _rows(ids: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
+    return np.split(ids, np.searchsorted(row, np.arange(1, n))) if n else []
 
 
 @dataclass(frozen=True)
@@ -59,11 +66,14 @@ class Tokenizer:
     def freeze_hash(self) -> str:
         return object_hash({"merges": [list(m) for m in self.merges], "specials": list(config.SPECIALS), "nfc": True, "pretokenize": "byte", "tiebreak": "lexicographic_pair", "vocab_size": self.vocab_size, "train_manifest_hash": self.train_manifest_hash})
 
-    def encode(self, text: str) -> list[int]:
-        ids = to_bytes(text)
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        ids, row = laid_out(texts)
         for k, pair in enumerate(self.merges):
-            ids = merged(ids, pair, FIRST_MERGE + k)
-        return [config.BOS, *ids, config.EOS]
+            ids, row = merged(ids, row, pair, FIRST_MERGE + k)
+        return [[config.BOS, *x.tolist(), config.EOS] for x in _rows(ids, row, len(texts))]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_many([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         out = bytearray()
@@ -79,7 +89,13 @@ class Tokenizer:
     def encode_column(self, text):
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: None if t is None else self.encode(t))
+            out = pd.Series([None] * len(s), index=s.index, dtype=object)
+            own = s[s.notna()]
+            for at in range(0, len(own), 500):
+                part = own.iloc[at : at + 500]
+                for i, x in zip(part.index, self.encode_many(list(part))):
+                    out[i] = x
+            return out
 
         return run(text)
 
@@ -91,32 +107,31 @@ class Tokenizer:
         return run(ids)
 
 
-def best(counts: dict[tuple[int, int], int]) -> tuple[int, int] | None:
-    """The pair with the largest count, the smallest of them; none if no pair comes twice."""
-    if not counts:
-        return None
-    pair = min(counts, key=lambda p: (-counts[p], p))
-    return pair if counts[pair] >= 2 else None
-
-
 def _replay(merges: tuple[tuple[int, int], ...], first: int):
     def go(batches):
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            for k, pair in enumerate(merges):
-                ids = [merged(x, pair, FIRST_MERGE + first + k) for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), b.column(1)], names=["ids", "copies"])
+        for whole in batches:
+            for b in slices(whole):
+                ids, ends = flat_lists(b.column(0))
+                row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+                for k, pair in enumerate(merges):
+                    ids, row = merged(ids, row, pair, FIRST_MERGE + first + k)
+                at = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at), pa.array(ids.astype(np.int32))), b.column(1)], names=["ids", "copies"])
 
     return go
 
 
 def _counts(batches):
-    total: Counter = Counter()
-    for b in batches:
-        for ids, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for p, c in Counter(zip(ids, ids[1:])).items():
-                total[p] += c * n
-    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in total], pa.int32()), pa.array([p[1] for p in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["a", "b", "n"])
+    for whole in batches:
+        for b in slices(whole):
+            ids, ends = flat_lists(b.column(0))
+            row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            same = row[:-1] == row[1:]
+            pair = (ids[:-1].astype(np.int64) << 32 | ids[1:])[same]
+            keys, where = np.unique(pair, return_inverse=True)
+            n = np.zeros(len(keys), np.int64)
+            np.add.at(n, where, b.column(1).to_numpy()[row[:-1][same]])
+            yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
 
 
 def pair_counts(ids: DataFrame) -> DataFrame:
@@ -126,7 +141,7 @@ def pair_counts(ids: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def byte_ids(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else to_bytes(t))
+    return text.map(lambda t: None if t is None else laid_out([t])[0])
 
 
 def train(texts: DataFrame, vocab_size: int = config.VOCAB_SIZE, train_manifest_hash: str = "", every: int = 16) -> Tokenizer:
