@@ -78,13 +78,13 @@ def weighted_vs_naive_mean(spark, d):
     return S.weighted_and_naive(b).select("run", F.round("weighted", 6).alias("weighted"), F.round("naive", 6).alias("naive"))
 
 
-@query("""WITH t AS (SELECT l_suppkey AS run, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_tax, l_shipdate) - 1 AS step, l_quantity AS tokens, 1.0::DOUBLE + l_tax AS seconds FROM lineitem)
-SELECT run, step, round(sum(CASE WHEN step >= 5 THEN tokens END) OVER w / sum(CASE WHEN step >= 5 THEN seconds END) OVER w, 5) AS rate FROM t WINDOW w AS (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING)""")
+@query("""WITH t AS (SELECT l_suppkey AS run, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_tax, l_shipdate) - 1 AS step, l_quantity::BIGINT AS tokens, round(100 + l_tax * 100)::BIGINT AS seconds FROM lineitem)
+SELECT run, step, sum(CASE WHEN step >= 5 THEN tokens END) OVER w / sum(CASE WHEN step >= 5 THEN seconds END) OVER w AS rate FROM t WINDOW w AS (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING)""")
 def throughput_after_warmup(spark, d):
     li = table(spark, d, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_tax")
     step = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_tax", "l_shipdate")).cast("bigint") - 1
-    t = li.select(F.col("l_suppkey").alias("run"), step.alias("step"), F.col("l_quantity").alias("tokens"), (F.col("l_tax") + 1.0).alias("seconds"))
-    return S.throughput(t).select("run", "step", F.round("rate", 5).alias("rate"))
+    t = li.select(F.col("l_suppkey").alias("run"), step.alias("step"), F.col("l_quantity").cast("bigint").alias("tokens"), F.round(100 + F.col("l_tax") * 100).cast("bigint").alias("seconds"))
+    return S.throughput(t).select("run", "step", "rate")
 
 
 @query("""WITH s AS (SELECT l_orderkey AS run, l_linenumber AS step, sum(l_quantity)::BIGINT AS n FROM lineitem GROUP BY ALL) SELECT run, step, coalesce(sum(n) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at FROM s""")
