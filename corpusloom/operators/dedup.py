@@ -84,8 +84,8 @@ def run(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sets = written(shingled(unique), "sets")
     aside = greedy(near_pairs(sets, threshold))
     empty = sets.where("n = 0").select("doc_id")
-    first = empty.groupBy().agg(F.min("doc_id").alias("matched"))
-    blank = empty.crossJoin(F.broadcast(first)).where("doc_id <> matched").select("doc_id", "matched", F.lit(1.0).alias("jaccard"))
+    first = empty.agg(F.min("doc_id")).collect()[0][0]  # one value
+    blank = empty.where(F.col("doc_id") != first).select("doc_id", F.lit(first).alias("matched"), F.lit(1.0).alias("jaccard"))
     marked = known.join(aside.unionByName(blank), "doc_id", "left")
     status = F.when(F.col("doc_id") != F.col("canonical_doc_id"), "exact_duplicate").when(F.col("matched").isNotNull(), "quarantined").otherwise("survivor")
     return marked.withColumn("status", status).withColumn("matched", F.when(F.col("status") == "exact_duplicate", F.col("canonical_doc_id")).otherwise(F.col("matched"))).withColumn("jaccard", F.when(F.col("status") == "exact_duplicate", F.lit(1.0)).otherwise(F.col("jaccard")))

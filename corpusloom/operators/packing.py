@@ -10,16 +10,31 @@ of groups and sequences is a two-step prefix sum, so no lane is held in one task
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..session import written
 from .shards import offsets
 
 
+@cache
+def _subsets(n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size from 1 to n: the subsets of n items of that size, their items (last first), and the subsets without each of them."""
+    every = np.arange(1 << n, dtype=np.int32)
+    sizes = np.bitwise_count(every)
+    out = []
+    for size in range(1, n + 1):
+        masks = every[sizes == size]
+        items = n - 1 - np.nonzero(masks[:, None] >> np.arange(n - 1, -1, -1) & 1)[1].reshape(len(masks), size)
+        out.append((masks, items.astype(np.int8), masks[:, None] ^ (1 << items).astype(np.int32)))
+    return out
+
+
 def exact_bins(lengths: Sequence[int], capacity: int) -> list[int]:
     """The bin of each item in a packing into the fewest bins.
 
@@ -32,27 +47,20 @@ def exact_bins(lengths: Sequence[int], capacity: int) -> list[int]:
         raise ValueError("an item longer than the capacity")
     if not n:
         return []
-    unit = capacity + 1
-    best = np.full(1 << n, np.iinfo(np.int64).max)
-    last = np.zeros(1 << n, np.int8)
+    bits = capacity.bit_length()
+    length = np.array(lengths, np.int32)
+    best, last = np.zeros(1 << n, np.int32), np.zeros(1 << n, np.int8)
     best[0] = capacity
-    sizes = np.bitwise_count(np.arange(1 << n, dtype=np.uint32))
-    for size in range(1, n + 1):
-        masks = np.flatnonzero(sizes == size)
-        top = np.full(len(masks), np.iinfo(np.int64).max)
-        who = np.zeros(len(masks), np.int8)
-        for i in reversed(range(n)):
-            has = np.flatnonzero(masks >> i & 1)
-            before = best[masks[has] ^ (1 << i)]
-            taken = before % unit
-            value = np.where(taken + lengths[i] <= capacity, before + lengths[i], (before // unit + 1) * unit + lengths[i])
-            better = value < top[has]
-            top[has[better]], who[has[better]] = value[better], i
-        best[masks], last[masks] = top, who
+    for masks, items, without in _subsets(n):
+        before, own = best[without], length[items]
+        value = np.where((before & (1 << bits) - 1) + own <= capacity, before + own, (before >> bits) + 1 << bits | own)
+        at = value.argmin(axis=1)
+        rows = np.arange(len(masks))
+        best[masks], last[masks] = value[rows, at], items[rows, at]
     out, mask = [0] * n, (1 << n) - 1
     while mask:
         i = int(last[mask])
-        out[i] = int(best[mask] // unit) - 1
+        out[i] = int(best[mask] >> bits) - 1
         mask ^= 1 << i
     return out
 
@@ -113,53 +121,52 @@ def grouped(frags: DataFrame, policies: dict[str, config.Packing] | None = None)
     return frags.join(place, ["lane", "doc_id"]).withColumn("group_index", F.floor(F.col("i") / size).cast("int")).drop("i")
 
 
-_PACKED = (
-    "lane string, group_index int, bin_index int, input_ids array<int>, attention_block_ids array<int>, position_ids array<int>, loss_mask array<int>, "
-    "token_provenance array<struct<doc_id:string,parent_doc_id:string,token_offset:int>>, doc_ids_present array<string>"
-)
-
-
-def _pack(seq_len: int, policies: dict[str, config.Packing], cap: bool):
+def _bins(seq_len: int, policies: dict[str, config.Packing], cap: bool):
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lane, group = key
-        pdf = pdf.sort_values("doc_id").reset_index(drop=True)
-        lengths = [len(t) for t in pdf["tokens"]]
+        pdf = pdf.sort_values("doc_id")
+        lengths = pdf["n"].tolist()
         bins = exact_bins(lengths, seq_len) if len(lengths) <= config.EXACT_GROUP else first_fit_decreasing(lengths, seq_len)
-        policy = policies.get(lane, config.ROLE_AGNOSTIC)
-        bins = capped(bins, policy.max_docs if cap else len(bins))
-        rows = []
-        for b in range(max(bins, default=-1) + 1):
-            own = pdf[[x == b for x in bins]]
-            sizes = [len(t) for t in own["tokens"]]
-            pad = seq_len - sum(sizes)
-            position = [p for s in sizes for p in range(s)]
-            rows.append(
-                {
-                    "lane": lane,
-                    "group_index": group,
-                    "bin_index": b,
-                    "input_ids": [int(t) for ts in own["tokens"] for t in ts] + [config.PAD] * pad,
-                    "attention_block_ids": [k for k, s in enumerate(sizes) for _ in range(s)] + [-1] * pad,
-                    "position_ids": position + [0] * pad,
-                    "loss_mask": [int(p > 0) for p in position] + [0] * pad,
-                    "token_provenance": [{"doc_id": d, "parent_doc_id": q, "token_offset": p} for d, q, s in zip(own["doc_id"], own["parent_doc_id"], sizes) for p in range(s)] + [None] * pad,
-                    "doc_ids_present": list(own["doc_id"]),
-                }
-            )
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _PACKED.split(", ")])
+        policy = policies.get(key[0], config.ROLE_AGNOSTIC)
+        return pdf.assign(bin_index=capped(bins, policy.max_docs if cap else len(bins)))[["lane", "group_index", "doc_id", "bin_index"]]
 
     return one
 
 
+def _sequence(seq_len: int) -> list[Column]:
+    """The arrays of a sequence out of its items (doc_id, parent_doc_id, tokens), in the order of their ids."""
+    flat = lambda f: F.flatten(F.transform("items", f))
+    pad = F.greatest(F.lit(seq_len) - F.aggregate("items", F.lit(0), lambda a, x: a + F.size(x["tokens"])), F.lit(0))
+    places = lambda x: F.sequence(F.lit(0), F.size(x["tokens"]) - 1)
+    filled = lambda a, v: F.concat(a, F.array_repeat(v, pad))
+    position = flat(places)
+    source = flat(lambda x: F.transform(places(x), lambda p: F.named_struct(F.lit("doc_id"), x["doc_id"], F.lit("parent_doc_id"), x["parent_doc_id"], F.lit("token_offset"), p)))
+    none = F.lit(None).cast("struct<doc_id:string,parent_doc_id:string,token_offset:int>")
+    return [
+        filled(flat(lambda x: x["tokens"]), F.lit(config.PAD)).alias("input_ids"),
+        filled(flat(lambda x, i: F.array_repeat(i, F.size(x["tokens"]))), F.lit(-1)).alias("attention_block_ids"),
+        filled(position, F.lit(0)).alias("position_ids"),
+        filled(F.transform(position, lambda p: (p > 0).cast("int")), F.lit(0)).alias("loss_mask"),
+        filled(source, none).alias("token_provenance"),
+        F.transform("items", lambda x: x["doc_id"]).alias("doc_ids_present"),
+    ]
+
+
 def pack(docs: DataFrame, seq_len: int = config.SEQ_LEN, policies: dict[str, config.Packing] | None = None, cap: bool = True) -> DataFrame:
-    """Packed sequences of docs (doc_id, lane, tokens), with seq_id lane:g<group>:b<bin>:<number in the lane>."""
+    """Packed sequences of docs (doc_id, lane, tokens), with seq_id lane:g<group>:b<bin>:<number in the lane>.
+
+    Only lengths go through Python; tokens are laid out in the JVM.
+    """
     policies = config.PACKING if policies is None else policies
-    groups = grouped(fragments(docs, seq_len, policies), policies)
-    packed = groups.select("lane", "group_index", "doc_id", "parent_doc_id", "tokens").groupBy("lane", "group_index").applyInPandas(_pack(seq_len, policies, cap), _PACKED)
+    groups = written(grouped(fragments(docs, seq_len, policies), policies).select("lane", "group_index", "doc_id", "parent_doc_id", "tokens"), "groups")
+    sizes = groups.select("lane", "group_index", "doc_id", F.size("tokens").alias("n"))
+    bins = sizes.groupBy("lane", "group_index").applyInPandas(_bins(seq_len, policies, cap), "lane string, group_index int, doc_id string, bin_index int")
+    bins = written(bins, "bins")
     place = F.format_string("%012d:%012d", "group_index", "bin_index")
-    packed = packed.withColumn("place", place)
-    number = offsets(packed.select("lane", F.col("place").alias("doc_id"), F.lit(1).alias("n"))).select("lane", F.col("doc_id").alias("place"), F.col("start_token").alias("number"))
-    return packed.join(number, ["lane", "place"]).withColumn("seq_id", F.concat("lane", F.lit(":g"), "group_index", F.lit(":b"), "bin_index", F.lit(":"), "number")).drop("place", "number")
+    number = offsets(bins.select("lane", place.alias("doc_id")).distinct().withColumn("n", F.lit(1))).select("lane", F.col("doc_id").alias("place"), F.col("start_token").alias("number"))
+    items = F.array_sort(F.collect_list(F.struct("doc_id", "parent_doc_id", "tokens")))  # a bin's items: at most a group's
+    packed = groups.join(bins, ["lane", "group_index", "doc_id"]).groupBy("lane", "group_index", "bin_index").agg(items.alias("items"))
+    packed = packed.select("lane", "group_index", "bin_index", *_sequence(seq_len), place.alias("place")).join(number, ["lane", "place"])
+    return packed.withColumn("seq_id", F.concat("lane", F.lit(":g"), "group_index", F.lit(":b"), "bin_index", F.lit(":"), "number")).drop("place", "number")
 
 
 def utilisation(packed: DataFrame) -> DataFrame:

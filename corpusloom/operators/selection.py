@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import hashing as H
 
+# The purpose strings of the draws, and the names of the steps.
+SKETCH_PURPOSE = ("opus-sketch", 0, "hash")
+ORDER_PURPOSE = "boltzmann"
+STEPS = ("ingest", "firewall_check", "integrity_check", "opus_score", "threshold_rule", "mixture_fit", "floor_check", "verdict")
+
 
 def sketch_table(spark: SparkSession, width: int, dim: int = config.SKETCH) -> DataFrame:
     """(pos, bucket, sign) of every position under width."""
-    key = H.key_hex(config.SEED, "opus-sketch", 0, "hash", F.col("id"))
+    key = H.key_hex(config.SEED, *SKETCH_PURPOSE, F.col("id"))
     at = spark.range(width).withColumn("k", key)
     bucket = F.pmod(F.floor(H.uniform_column(F.col("k"), F.lit(0)) * dim), F.lit(dim)).cast("int")
     sign = F.when(H.uniform_column(F.col("k"), F.lit(1)) < 0.5, 1.0).otherwise(-1.0)
@@ -60,7 +65,7 @@ def decide(candidates: DataFrame) -> DataFrame:
     late = (F.col("rule") == "DEFER") & (F.col("defer_count") > config.MAX_DEFERS)
     out = out.withColumn("rule", F.when(late, "REJECT").otherwise(F.col("rule")))
     lifted = (F.col("rule") == "REJECT") & F.col("floor_breach")
-    trace = F.array(*[F.lit(x) for x in ("ingest", "firewall_check", "integrity_check", "opus_score", "threshold_rule", "mixture_fit", "floor_check", "verdict")])
+    trace = F.array(*[F.lit(x) for x in STEPS])
     return out.select("id", F.when(lifted, "ACCEPT").otherwise(F.col("rule")).alias("classification"), "score", "defer_count", lifted.alias("floor_override"), trace.alias("node_trace"))
 
 
@@ -73,7 +78,7 @@ def frontier(decided: DataFrame, budget: int) -> DataFrame:
 
 def weighted_order(scored: DataFrame, branch: str = "root", step: int = 0, temperature: float = config.TEMPERATURE) -> DataFrame:
     """scored (lane, idx, id, score) with rank: a weighted order without replacement, weight exp(score / temperature), by a keyed draw for each candidate."""
-    k = H.key_hex(config.SEED, branch, step, "boltzmann", F.col("id"))
+    k = H.key_hex(config.SEED, branch, step, ORDER_PURPOSE, F.col("id"))
     u = F.greatest(F.least(H.uniform_column(k, F.col("idx")), F.lit(1 - 1e-12)), F.lit(1e-12))
     key = F.pow(u, F.lit(1.0) / F.exp(F.col("score") / temperature))
     return scored.withColumn("key", key).withColumn("rank", F.row_number().over(Window.partitionBy("lane").orderBy(F.desc("key"), "idx"))).drop("key")

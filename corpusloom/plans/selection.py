@@ -41,8 +41,7 @@ g AS (SELECT branch, lane, weight / (SELECT sum(weight) FROM plan) AS planned FR
 s AS (SELECT branch, lane, sum(effective) AS e FROM draws GROUP BY ALL), t AS (SELECT branch, sum(e) AS t FROM s JOIN plan USING (lane) GROUP BY branch)
 SELECT branch, lane, round(planned, 9) AS planned, round(coalesce(e::DOUBLE / nullif(t, 0), 0), 9) AS actual FROM g LEFT JOIN s USING (branch, lane) LEFT JOIN t USING (branch)""")
 def planned_vs_actual(spark, d):
-    plan = spark.createDataFrame(list(_W.items()), "lane string, weight double")
-    return M.planned_vs_actual(draws(spark, d), plan).select("branch", "lane", F.round("planned", 9).alias("planned"), F.round("actual", 9).alias("actual"))
+    return M.planned_vs_actual(draws(spark, d), _W).select("branch", "lane", F.round("planned", 9).alias("planned"), F.round("actual", 9).alias("actual"))
 
 
 @query(f"""WITH {_DRAWS}, x AS (SELECT branch, draw, lane, avg(CASE WHEN lane LIKE 'verified-%' THEN 1.0::DOUBLE ELSE 0 END) OVER w AS share, count(*) OVER w AS seen FROM draws WINDOW w AS (PARTITION BY branch ORDER BY draw ROWS BETWEEN 15 PRECEDING AND CURRENT ROW))
