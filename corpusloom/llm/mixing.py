@@ -152,5 +152,5 @@ def shares(documents: DataFrame, mix_targets: DataFrame) -> DataFrame:
     rows, duals = solution(documents, mix_targets)
     got = _drawn(rows, duals).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
     got = duals.select("source", "target_share", "short").join(got, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-    total = got.groupBy().agg(F.sum("tokens").alias("all"))
-    return got.crossJoin(F.broadcast(total)).select("source", "target_share", (F.col("tokens") / F.nullif("all", F.lit(0))).alias("actual_share"), "tokens", F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "short")
+    got = got.withColumn("all", F.sum("tokens").over(Window.partitionBy(F.lit(0))))  # a row a target
+    return got.select("source", "target_share", (F.col("tokens") / F.nullif("all", F.lit(0))).alias("actual_share"), "tokens", F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "short")

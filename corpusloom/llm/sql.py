@@ -2,28 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions.text import STOP_WORDS, SUFFIXES
+from ..plans.text_sql import DOCS, PAIRS, SHINGLED
 
-
-def _stem() -> str:
-    cases = " ".join(f"WHEN ends_with(w, '{s}') THEN CASE WHEN length(w) >= {len(s) + 2} THEN left(w, length(w) - {len(s)}) ELSE w END" for s in sorted(SUFFIXES, key=len, reverse=True))
-    return f"CASE {cases} ELSE w END"
-
-
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_SETS = f"""
-docs AS (SELECT doc_id, any_value(text) AS text FROM corpus WHERE text IS NOT NULL GROUP BY doc_id),
-stems AS (
-  SELECT doc_id, text, list_transform(list_filter(regexp_extract_all(nfc_normalize(text), '[^\\s\\v\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}.,!?;:"''()\\[\\]{{}}।॥]+'), lambda w: w NOT IN ({_STOP})), lambda w: {_stem()}) AS ws FROM docs),
-shingled AS (
-  SELECT doc_id, text, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM stems),
-sets AS (SELECT doc_id, text, len(sh) AS n, sh FROM shingled WHERE len(sh) > 0),
-parts AS (SELECT doc_id, n, unnest(sh) AS s FROM sets),
-pairs AS (
-  SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, a.n AS na, b.n AS nb, count(*) AS c
-  FROM parts a JOIN parts b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-alike AS (SELECT doc_id_a, doc_id_b FROM pairs WHERE c::DOUBLE / (na + nb - c) >= 0.8::DOUBLE)"""
+_SETS = f"{DOCS}, {SHINGLED}, {PAIRS}"
 
 _SPLITS = """
 given AS (SELECT doc_id, upper(trim(role)) AS role, assigned_at FROM role_assignment WHERE trim(role) <> ''),
@@ -32,11 +13,11 @@ splits AS (SELECT doc_id, role FROM last UNION SELECT unnest(map_keys(offsets)),
 sides AS (SELECT doc_id, bool_or(role = 'TRAIN') AS train, bool_or(role IN ('VALIDATION', 'EVAL')) AS held FROM splits GROUP BY doc_id)"""
 
 P1_FOUND = f"""WITH {_SETS}, {_SPLITS}
-SELECT doc_id_a, doc_id_b FROM alike p JOIN sides x ON x.doc_id = p.doc_id_a JOIN sides y ON y.doc_id = p.doc_id_b
+SELECT a AS doc_id_a, b AS doc_id_b FROM alike p JOIN sides x ON x.doc_id = a JOIN sides y ON y.doc_id = b
 WHERE (x.train AND y.held) OR (x.held AND y.train)"""
 
 P3_FOUND = f"""WITH {_SETS}
-SELECT doc_id_a, doc_id_b FROM alike p JOIN docs x ON x.doc_id = p.doc_id_a JOIN docs y ON y.doc_id = p.doc_id_b WHERE x.text <> y.text"""
+SELECT a AS doc_id_a, b AS doc_id_b FROM alike p JOIN docs x ON x.doc_id = a JOIN docs y ON y.doc_id = b WHERE x.text <> y.text"""
 
 P2_FOUND = """WITH RECURSIVE kinds AS (
   SELECT token_id, CASE WHEN kind <> 'text' THEN 0 WHEN piece = chr(10) THEN 3 WHEN piece IN ('.', '!', '?', '।', '॥') THEN 2 WHEN starts_with(piece, ' ') THEN 1 ELSE 0 END AS k FROM vocab),
