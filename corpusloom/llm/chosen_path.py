@@ -167,8 +167,11 @@ def near_duplicates(c: Classes, threshold: float = 0.8, **options) -> DataFrame:
     x = m.select(F.col("doc_id").alias("x"), F.col("text_key").alias("tx"), F.col("set_key").alias("a"))
     y = m.select(F.col("doc_id").alias("y"), F.col("text_key").alias("ty"), F.col("set_key").alias("b"))
     across = links.join(x, "a").join(y, "b").select("x", "y", "jaccard")
-    mixed = m.groupBy("set_key").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi").select(F.col("set_key").alias("a"))
-    within = x.join(mixed, "a", "left_semi").join(y.withColumnRenamed("b", "a"), "a").where("tx <> ty and x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
+    # inside a set: first the pairs of its different texts, then their documents, so that copies never meet each other
+    texts = m.select("set_key", "text_key").distinct()
+    s, t = texts.select("set_key", F.col("text_key").alias("tx")), texts.select("set_key", F.col("text_key").alias("ty"))
+    differing = s.join(t, "set_key").where("tx < ty").select("tx", "ty")
+    within = differing.join(x.select("x", "tx"), "tx").join(y.select("y", "ty"), "ty").select("x", "y", F.lit(1.0).alias("jaccard"))
     return across.union(within).where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard").dropDuplicates(["doc_id_a", "doc_id_b"])
 
 
