@@ -161,7 +161,7 @@ def matches(items: DataFrame, documents: DataFrame, passage: int = PASSAGE, keys
     they are at most keys_bound; beyond it all windows go to the join, with the same result.
     """
     held = items.select(F.col("item_id").cast("bigint"), "text").where("item_id is not null and text is not null").mapInArrow(partial(_item_windows, passage=passage), _WINDOW)
-    held = held.dropDuplicates(["length", "key", "id"])
+    held = held.dropDuplicates(["length", "key", "id", "words"])  # windows of one template with other slots are different passages
     keys = held.select("length", "key").distinct().limit(keys_bound + 1).toPandas()
     lengths = sorted(set(keys["length"].tolist())) if len(keys) <= keys_bound else list(range(1, passage + 1))
     wanted = {n: np.sort(keys.loc[keys["length"] == n, "key"].to_numpy().view(_U)) for n in lengths} if len(keys) <= keys_bound else None
@@ -175,6 +175,12 @@ def matches(items: DataFrame, documents: DataFrame, passage: int = PASSAGE, keys
 
 
 def leaks(items: DataFrame, documents: DataFrame, passage: int = PASSAGE, **options) -> DataFrame:
-    """(item_id, doc_id, verbatim, reparameterised): documents with an item's passage, and how many windows say so either way."""
+    """(item_id, doc_id, verbatim, reparameterised): documents with an item's passage, and how many of their windows say so either way.
+
+    A window counts once, as verbatim if it equals any window of the item.
+    """
     m = matches(items, documents, passage, **options).where("verbatim or consistent")
-    return m.groupBy("item_id", "doc_id").agg(F.count_if("verbatim").alias("verbatim"), F.count_if(~F.col("verbatim")).alias("reparameterised"))
+    pairs = m.groupBy("item_id", "doc_id", "doc_words", "item_words").agg(F.count(F.lit(1)).alias("n"), F.bool_or("verbatim").alias("verbatim"))
+    own = pairs.groupBy("item_id", "doc_id", "doc_words").agg(F.max("n").alias("n"), F.bool_or("verbatim").alias("verbatim"))
+    many = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return own.groupBy("item_id", "doc_id").agg(many(F.col("verbatim")).alias("verbatim"), many(~F.col("verbatim")).alias("reparameterised"))

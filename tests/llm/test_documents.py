@@ -62,6 +62,16 @@ def test_reparameterised(spark):
     assert leaks.leaks(a.limit(0), b).count() == 0 and leaks.leaks(a, b.limit(0)).count() == 0
 
 
+def test_windows_of_one_template_are_kept_apart(spark):
+    part = "in question {} the class counts each of the old coins by hand again "
+    item = "".join(part.format(n) for n in (3, 4, 5, 6, 7))
+    docs = [(n, part.format(n) + "tail") for n in (3, 4, 5, 6, 7, 8)]
+    a, b = spark.createDataFrame([(7, item, 1)] * 2, ITEMS), spark.createDataFrame([(i, t, "s", 1, 1) for i, t in docs], DOCS)
+    got = leaks.leaks(a, b).collect()
+    assert {r.doc_id for r in got if r.verbatim} == {d for _, d in brute([(7, item)], docs)} == {3, 4, 5, 6, 7}
+    assert all((r.verbatim, r.reparameterised) == ((2, 0) if r.doc_id != 8 else (0, 2)) for r in got)  # 14 words are two windows; each counts once
+
+
 def test_slots_depend_on_the_word():
     assert [leaks.slot(w) for w in ("12", "೧೨", "ten", "kg", "monday", "ರಾಮನಗರದಲ್ಲಿ", "farmer")] == [1, 1, 1, 2, 3, 3, 0]
     assert leaks.words("ﬁne ＡＢ‌c!") == ["fine", "abc"]
