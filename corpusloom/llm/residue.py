@@ -130,12 +130,22 @@ NOTICES = (
     r"(?:ದಯವಿಟ್ಟು )?ವಿಳಾಸ(?:ವನ್ನು)? (?:[\p{Kannada}‌‍]+ )?(?:ಪರಿಶೀಲಿಸಿ|ಸರಿಪಡಿಸಿ)",
     r"ತಾಂತ್ರಿಕ (?:ತೊಂದರೆ|ದೋಷ)[\p{Kannada}‌‍]*(?: [\p{Kannada}‌‍]+){0,4}|(?:ಸ್ವಲ್ಪ ಸಮಯದ ನಂತರ|ದಯವಿಟ್ಟು|ನಂತರ) (?:[\p{Kannada}‌‍]+ ){0,3}ಪ್ರಯತ್ನಿಸಿ",
 )
-_notice = regex.compile(r"(?i)(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(NOTICES) + r")(?![\p{L}\p{M}\p{N}])")
+#: Frames of stack traces, each with its source line and the marks under it: a source line is indented, or stands before the next frame or the error on the frame's own line.
+FRAMES = (
+    r"file \"[^\"\n]{1,300}\", line \d+(?:, in [^\s,]{1,100}(?:[ \t]+(?!file \")[^\n]{1,300}?(?=[ \t]+(?:file \"|(?:\w+\.)*\w*(?:error|exception)(?::|[ \t]*$))))?)?(?:[ \t]*\n[ \t]{2,}(?!file \"|at )[^\n]{1,400}){0,2}",
+    r"\bat [\w.$/<>@-]{1,300}\((?:[\w$.-]+(?::\d+)?|native method|unknown source)\)(?:[ \t]+~?\[[^\]\n]{1,100}\])?",
+    r"\bat (?:async |new )?(?:[\w.$<>\[\]]{1,100} (?:\[as \w+\] )?)?\(?(?:[^\s()]{1,300}\.[a-z]{1,5}|node:[\w/]+|<anonymous>):\d+:\d+\)?",
+    r"#\d+ (?:[^\s()]{1,300}\(\d+\): [^\n]{1,200}|\{main\})",
+    r"\.\.\. \d+ (?:more|common frames omitted)",
+)
+_frame = regex.compile(r"(?im)(?:" + "|".join(FRAMES) + ")")
+_may_frame = regex.compile(r"(?i)file \"[^\"\n]{1,300}\", line \d|\bat [^\n(]{1,300}\([^()\n]{1,300}\)|\bat [^\n]{1,300}:\d+:\d|#\d+ [^\n]{1,300}\(\d+\): ").search
+#: Stands for a frame that was found; a noncharacter, so no text has it.
+FRAME = "\uffff"
+_notice = regex.compile(r"(?i)(?<![\p{L}\p{M}\p{N}])(?:" + "|".join((*NOTICES, FRAME)) + r")(?![\p{L}\p{M}\p{N}])")
 _menu = regex.compile(r"(?i)\b(?:skip to content|menu|back to home|home|search|sign in|log in|contact|about)\b|ಮುಖಪುಟ|ಸುದ್ದಿ|ಸಂಪರ್ಕ|ಲೇಖನ|ಅಂಕಣ|ಹಿಂದಕ್ಕೆ ಹೋಗಿ|ಹುಡುಕಿ")
 #: Words beside the notices, menus aside, that a headline and no content has at most.
 HEADLINE = 30
-#: Words that a sentence with one of NOTICE_KEYS has at most; a text with more words a key is no notice, whatever its length.
-SENTENCE = 25
 # What every notice, and every filler, holds in lower case.
 NOTICE_KEYS = """not found|be found|forbidden|gateway|unavailable|bad request|internal server|time-out|timeout|timed out|unauthor|denied|not exist
 not available|removed|has moved|been moved|expired|is broken|no longer|server|connection|try again|retry in|come back later|working on it
@@ -178,20 +188,45 @@ def filler(text: str) -> bool:
     return len(said) > 1 or len(said) == 1 and said[0] > 0.5 * len(text.strip())
 
 
+def _reach(text: str, at: int, most: int) -> int:
+    """Where the words from at on, menus aside, are surely more than most."""
+    size = 400
+    while at + size < len(text):
+        # some words to spare, as the end of the piece may cut a menu entry
+        for k, m in enumerate(_word.finditer(_menu.sub(lambda m: " " * len(m[0]), text[at : at + size]))):
+            if k > most + 4:
+                return at + m.end()
+        size *= 4
+    return len(text)
+
+
+def _next_notice(text: str, at: int, most: int):
+    """The first notice from at on, None if more than most words stand before it: content is not read to its end."""
+    reach = _reach(text, at, most)
+    m = _notice.search(text, at, min(len(text), reach + 400))
+    return m if m is None or m.end() < reach + 400 else _notice.search(text, at)
+
+
 def notice(text: str) -> bool:
     """Whether error or script notices stand where the content should be."""
+    text = text.replace(FRAME, " ")
+    said = 0
+    if _may_frame(text):  # before quotes go: frames hold them
+        text, frames = _frame.subn(f" {FRAME} ", text)
+        said = 4 * frames
     plain = _quoted(" ", text)
-    found = [m.span() for m in _notice.finditer(plain)]
-    if not found:
+    beside = at = found = 0
+    while (m := _next_notice(plain, at, HEADLINE - beside)) is not None:
+        found += 1
+        beside += len(_word.findall(_menu.sub(" ", plain[at : m.start()])))
+        said += len(_word.findall(m[0]))
+        at = m.end()
+        if beside > HEADLINE:
+            return False
+    if not found or _reach(plain, at, HEADLINE - beside) < len(plain):
         return False
-    rest, at = [], 0
-    for s, e in found:
-        rest.append(plain[at:s])
-        at = e
-    rest.append(plain[at:])
-    beside = _word.findall(_menu.sub(" ", "\n".join(rest)))
-    said = sum(len(_word.findall(plain[s:e])) for s, e in found)
-    return len(beside) <= HEADLINE and (said >= 4 or len(beside) <= 2 * said + 12)
+    beside += len(_word.findall(_menu.sub(" ", plain[at:])))
+    return beside <= HEADLINE and (said >= 4 or beside <= 2 * said + 12)
 
 
 def judge(text: str | None) -> str | None:
@@ -208,7 +243,7 @@ def judge(text: str | None) -> str | None:
         fillers += f
     if fillers and filler(plain):
         return "filler"
-    if notices and plain.count(" ") + plain.count("\n") <= 2 * HEADLINE + SENTENCE * notices and notice(plain):
+    if notices and notice(plain):
         return "error"
     return None
 

@@ -131,6 +131,23 @@ def test_content_with_a_notice_in_it_stays():
     assert residue.judge(content + "Dear {{name}}, hello.") == "placeholder"
 
 
+@pytest.mark.parametrize("n", [1, 10, 100, 2000])
+def test_long_program_output(n):
+    python = "Traceback (most recent call last):\n" + "".join(f'  File "/srv/app/stage_{k}.py", line {k}, in step_{k}\n    value = reader.next_batch(source, size_{k})\n            ~~~~~~~~~~~~~~~~~^^^^^^^^^\n' for k in range(n)) + "KeyError: 'lane'\n"
+    bare = "Traceback (most recent call last):\n" + "".join(f'  File "stage.py", line {k}, in step\n' for k in range(n)) + "ValueError: no lane"
+    flat = "Traceback (most recent call last): " + "".join(f'File "stage.py", line {k}, in step value = reader.next(source, {k}) ' for k in range(n)) + "ValueError: no lane"
+    frames = "".join(f"\n        at org.app.Stage$Inner.step{k}(Stage.java:{k})" for k in range(n))
+    java = f'Exception in thread "main" java.lang.IllegalStateException: no lane{frames}\nCaused by: java.io.IOException: closed{frames}\n        ... {n} more'
+    for text in (python, bare, flat, java, "Morning news\n" + python):
+        assert residue.judge(text) == "error"
+        assert residue.judge(text + "The river was high that year and the school closed early. " * 12) is None
+    assert residue.judge("The river was high that year and the school closed early. " * 12 + java) is None
+
+
+def test_blank_lines_are_no_words():
+    assert residue.judge("404 Not Found" + "\n   " * 500 + "The page you asked for could not be found.") == "error"
+
+
 def test_residue_table(spark):
     rows = [(k, t, "s", 1, 1) for k, t in enumerate(["Dear {{name}}", "fine text", None, "", "x " * 100_000])] + [(0, "Dear {{name}}", "s", 1, 1), (None, "Dear {{name}}", "s", 1, 1)]
     df = spark.createDataFrame(rows, DOCS)
