@@ -49,6 +49,8 @@ FILLER_SENTENCES = (
     r"ಇಲ್ಲಿ (?:ಪಠ್ಯ|ವಿಷಯ) (?:ಬರುತ್ತದೆ|ಬರಲಿದೆ|ಸೇರಿಸಿ|ಬರೆಯಿರಿ)",
 )
 FILLER_RUN = 8
+#: The length from which a run of one or two different filler words counts: a shorter one may be said for emphasis.
+FEW_KINDS_RUN = 12
 
 _code = regex.compile(r"```.*?(?:```|\Z)|~~~\n.*?(?:~~~|\Z)|``[^\n]*?``|`[^`\n]*`|<(code|pre)\b[^>]*>.*?</\1>", regex.S | regex.I).sub
 
@@ -158,8 +160,10 @@ FILLER_KEYS = """lorem|ipsum|amet|blah|asdf|qwerty|xxxx|foo bar|test test|dolor|
 type s|type y|write s|goes here|here to|click|add your|add a|your text|your content|text here|content here|title here|something|example text|example se
 enter your|insert your|add some|put your|tap to|description|ಪಠ್ಯ|ಏನಾದರೂ|ವಿಷಯ ಇಲ್ಲಿ|ಇಲ್ಲಿ ವಿಷಯ|ಲೇಖನ ಇಲ್ಲಿ|ವಿವರಣೆ""".replace("\n", "|").split("|")
 _keyed = ahocorasick.Automaton()
-for _k in NOTICE_KEYS + FILLER_KEYS:
-    _keyed.add_word(_k, (_k in NOTICE_KEYS, _k in FILLER_KEYS))
+# Short Latin words are parts of many others, so they are sought with what stands around them.
+_latin_keys = [k for w in LATIN_FILLER for k in ([w] if len(w) > 3 else [a + w + b for a in " \n\t" for b in " ,.\n\t"])]
+for _k in {*NOTICE_KEYS, *FILLER_KEYS, *_latin_keys, *KEYBOARD_FILLER}:
+    _keyed.add_word(_k, (_k in NOTICE_KEYS, _k in FILLER_KEYS, _k in _latin_keys, _k in _keys))
 _keyed.make_automaton()
 
 
@@ -180,7 +184,7 @@ def filler(text: str) -> bool:
             if w in vocabulary:
                 run += 1
                 kinds.add(w)
-                if run >= FILLER_RUN and len(kinds) > 2:
+                if run >= (FILLER_RUN if len(kinds) > 2 else FEW_KINDS_RUN):
                     return True
             else:
                 run, kinds = 0, set()
@@ -237,11 +241,13 @@ def judge(text: str | None) -> str | None:
     kind = placeholder(plain)
     if kind:
         return "placeholder"
-    notices = fillers = 0
-    for _, (n, f) in _keyed.iter(plain.lower()):
+    notices = fillers = latin = keys = 0
+    for _, (n, f, x, y) in _keyed.iter(plain.lower()):
         notices += n
         fillers += f
-    if fillers and filler(plain):
+        latin += x
+        keys += y
+    if (fillers or latin >= FILLER_RUN - 2 or keys >= FILLER_RUN) and filler(plain):
         return "filler"
     if notices and notice(plain):
         return "error"

@@ -144,6 +144,13 @@ def test_long_program_output(n):
     assert residue.judge("The river was high that year and the school closed early. " * 12 + java) is None
 
 
+@pytest.mark.parametrize("words", ["blah", "xxx", "test", "foo bar", "lorem ipsum", "qux", "test, bar,", "sed et", "zzz\n"])
+def test_runs_of_one_or_two_filler_words(words):
+    few = " ".join([words] * (12 // len(words.split())))
+    assert residue.judge(few) == residue.judge("A headline\n" + f"{few} " * 20) == "filler"
+    assert residue.judge("He said " + " ".join(few.split()[:11]) + " and left.") is None
+
+
 def test_blank_lines_are_no_words():
     assert residue.judge("404 Not Found" + "\n   " * 500 + "The page you asked for could not be found.") == "error"
 
