@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config
-from ..functions.arrow import flat_lists, slices
+from ..functions.arrow import slices
 from ..functions.hashing import object_hash
 from ..session import written
 
@@ -28,32 +29,12 @@ FIRST_BYTE = len(config.SPECIALS)
 FIRST_MERGE = FIRST_BYTE + 256
 
 
-def merged(ids: np.ndarray, row: np.ndarray, pair: tuple[int, int], new: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences laid end to end (ids, and the row each is of) with each occurrence of pair, from the left and without overlaps, replaced."""
-    a, b = pair
-    hit = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b) & (row[:-1] == row[1:]))
-    if not len(hit):
-        return ids, row
-    if a == b:  # of a run of overlapping occurrences, every second one
-        order = np.arange(len(hit))
-        first = np.maximum.accumulate(np.where(np.r_[True, np.diff(hit) != 1], order, 0))
-        hit = hit[(order - first) % 2 == 0]
-    ids, keep = ids.copy(), np.ones(len(ids), bool)
-    ids[hit] = new
-    keep[hit + 1] = False
-    return ids[keep], row[keep]
-
-
 def laid_out(texts) -> tuple[np.ndarray, np.ndarray]:
     parts = [np.frombuffer(unicodedata.normalize("NFC", t).encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
     ids = np.concatenate([*parts, np.empty(0, np.uint8)]).astype(np.int32) + FIRST_BYTE
     return ids, np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
-def _rows(ids: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
-    return np.split(ids, np.searchsorted(row, np.arange(1, n))) if n else []
-
-
 @dataclass(frozen=True)
 class Tokenizer:
     merges: tuple[tuple[int, int], ...]
@@ -68,23 +49,29 @@ class Tokenizer:
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         ids, row = laid_out(texts)
-        for k, pair in enumerate(self.merges):
-            ids, row = merged(ids, row, pair, FIRST_MERGE + k)
-        return [[config.BOS, *x.tolist(), config.EOS] for x in _rows(ids, row, len(texts))]
+        ends = np.searchsorted(row, np.arange(len(texts) + 1))
+        ids = np.insert(ids, ends[1:], config.PAD).astype(np.uint16)
+        ids, ends = _replayed(ids, ends + np.arange(len(texts) + 1), self.groups)
+        return [[config.BOS, *ids[s : e - 1].tolist(), config.EOS] for s, e in zip(ends, ends[1:])]
+
+    @cached_property
+    def groups(self) -> list[list[tuple[int, int, int]]]:
+        return _groups(self.merges)
+
+    @cached_property
+    def spelled(self) -> list[bytes]:
+        """The bytes of each id; none for specials."""
+        out = [b""] * FIRST_BYTE + [bytes([k]) for k in range(256)]
+        for a, b in self.merges:
+            out.append(out[a] + out[b])
+        return out
 
     def encode(self, text: str) -> list[int]:
         return self.encode_many([text])[0]
 
     def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        todo = list(reversed(ids))
-        while todo:
-            t = todo.pop()
-            if FIRST_BYTE <= t < FIRST_MERGE:
-                out.append(t - FIRST_BYTE)
-            elif FIRST_MERGE <= t < self.vocab_size:
-                todo.extend(reversed(self.merges[t - FIRST_MERGE]))
-        return out.decode("utf-8", "replace")
+        known = self.spelled
+        return b"".join([known[t] for t in ids if 0 <= t < len(known)]).decode("utf-8", "replace")
 
     def encode_column(self, text):
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -102,60 +89,144 @@ class Tokenizer:
     def decode_column(self, ids):
         @F.pandas_udf(T.StringType())
         def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: None if t is None else self.decode([int(x) for x in t]))
+            return s.map(lambda t: None if t is None else self.decode(t))
 
         return run(ids)
 
 
-def _replay(merges: tuple[tuple[int, int], ...], first: int):
+def _groups(merges) -> list[list[tuple[int, int, int]]]:
+    """(a, b, new) of the merges in order, cut where one could overlap, or use, another of its group: each group can be applied at once."""
+    out: list[list[tuple[int, int, int]]] = []
+    for k, (a, b) in enumerate(merges):
+        new = FIRST_MERGE + k
+        if not out or a == b or any(a in (y, z) or b in (x, z) or x == y for x, y, z in out[-1]):
+            out.append([])
+        out[-1].append((a, b, new))
+    return out
+
+
+def _applied(ids: np.ndarray, group: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray | None]:
+    """Sequences (uint16), each with a PAD behind it, after the merges of a group; and what was kept of ids (None for all)."""
+    if len(group) == 1 and group[0][0] == group[0][1]:
+        a, _, new = group[0]
+        hit = np.flatnonzero((ids[:-1] == a) & (ids[1:] == a))
+        order = np.arange(len(hit))
+        first = np.maximum.accumulate(np.where(np.r_[True, np.diff(hit) != 1], order, 0)) if len(hit) else order
+        hit = hit[(order - first) % 2 == 0]
+        to = np.uint16(new)
+    else:
+        width = max(max(x) for x in group) + 1
+        becomes = np.zeros((width, width), np.uint16)
+        for a, b, new in group:
+            becomes[a, b] = new
+        starts, ends = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        starts[[a for a, _, _ in group]] = True
+        ends[[b for _, b, _ in group]] = True
+        hit = np.flatnonzero(starts[ids[:-1]] & ends[ids[1:]])
+        to = becomes[ids[hit], ids[hit + 1]]
+        hit, to = hit[to > 0], to[to > 0]
+    if not len(hit):
+        return ids, None
+    ids, keep = ids.copy(), np.ones(len(ids), bool)
+    ids[hit] = to
+    keep[hit + 1] = False
+    return ids[keep], keep
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends) of a binary column of sequences, laid end to end."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint16, (at[-1] - at[0]) // 2, at[0]) if data and at[-1] > at[0] else np.empty(0, np.uint16), (at - at[0]) // 2
+
+
+def _replayed(ids, ends, groups):
+    for group in groups:
+        ids, keep = _applied(ids, group)
+        if keep is not None:
+            ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+    return ids, ends
+
+
+def _replay(groups):
     def go(batches):
         for whole in batches:
             for b in slices(whole):
-                ids, ends = flat_lists(b.column(0))
-                row = np.repeat(np.arange(b.num_rows), np.diff(ends))
-                for k, pair in enumerate(merges):
-                    ids, row = merged(ids, row, pair, FIRST_MERGE + first + k)
-                at = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at), pa.array(ids.astype(np.int32))), b.column(1)], names=["ids", "copies"])
+                ids, ends = _replayed(*_bytes(b.column(0)), groups)
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((2 * ends).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())]), b.column(1)], names=["ids", "copies"])
 
     return go
 
 
-def _counts(batches):
-    for whole in batches:
-        for b in slices(whole):
-            ids, ends = flat_lists(b.column(0))
-            row = np.repeat(np.arange(b.num_rows), np.diff(ends))
-            same = row[:-1] == row[1:]
-            pair = (ids[:-1].astype(np.int64) << 32 | ids[1:])[same]
-            keys, where = np.unique(pair, return_inverse=True)
-            n = np.zeros(len(keys), np.int64)
-            np.add.at(n, where, b.column(1).to_numpy()[row[:-1][same]])
-            yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
+def _counts(groups, width: int):
+    def go(batches):
+        total = np.zeros(width * width, np.int64)
+        for whole in batches:
+            for b in slices(whole):
+                ids, ends = _replayed(*_bytes(b.column(0)), groups)
+                pair = ids[:-1].astype(np.int64) * width + ids[1:]
+                copies = b.column(1).to_numpy()
+                total += np.bincount(pair, minlength=width * width)
+                for k in np.flatnonzero(copies != 1):
+                    own = pair[ends[k] : ends[k + 1] - 1]
+                    np.add.at(total, own, copies[k] - 1)
+        at = np.flatnonzero(total)
+        at = at[(at // width != config.PAD) & (at % width != config.PAD)]
+        yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32)), pa.array(total[at])], names=["a", "b", "n"])
 
+    return go
 
-def pair_counts(ids: DataFrame) -> DataFrame:
-    """(a, b, n): how often each adjacent pair stands in ids (ids array<int>, copies bigint)."""
-    return ids.mapInArrow(_counts, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
+def pair_counts(state: DataFrame, groups, width: int) -> DataFrame:
+    """(a, b, n): how often each adjacent pair stands in the sequences after the groups of merges (ids binary, copies bigint)."""
+    return state.mapInArrow(_counts(groups, width), "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
+
+@F.pandas_udf(T.BinaryType())
 def byte_ids(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else laid_out([t])[0])
+    """The ids of a text's bytes as 16-bit numbers, and a PAD behind them."""
+    return text.map(lambda t: None if t is None else np.append(laid_out([t])[0], config.PAD).astype(np.uint16).tobytes())
+
+
+def _next(counts: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """The next merges that the counts alone settle, at least one if there is any.
+
+    A merge (a, b) changes only pairs that start with b or end with a, and those become fewer; a pair with its new id
+    comes at most as often as such a pair did. So a pair of neither kind is next if it comes oftener than all of them.
+    """
+    n, found, bound = counts.copy(), [], 0
+    width = len(n)
+    while len(found) < most:
+        best = int(n.argmax())  # the first of equals: lexicographic
+        a, b = divmod(best, width)
+        if n[a, b] < 2 or found and n[a, b] <= bound:
+            break
+        found.append((a, b))
+        if a == b:
+            break
+        n[a, b] = 0
+        bound = max(bound, int(n[b].max()), int(n[:, a].max()))
+        n[b], n[:, a] = 0, 0
+    return found
 
 
 def train(texts: DataFrame, vocab_size: int = config.VOCAB_SIZE, train_manifest_hash: str = "", every: int = 16) -> Tokenizer:
-    """The tokenizer of the texts (text). One aggregation a merge; the sequences are written anew every so many merges, and the merges since are replayed on reading."""
+    """The tokenizer of the texts (text). One aggregation for as many merges as its counts settle; the sequences are written anew every so many merges, and the merges since are replayed on reading."""
     state = written(texts.where("text is not null").groupBy("text").agg(F.count(F.lit(1)).alias("copies")).select(byte_ids("text").alias("ids"), "copies"), "bpe")
     merges: list[tuple[int, int]] = []
-    base = 0
+    groups: list[list[tuple[int, int, int]]] = []
+    done = 0
     while FIRST_MERGE + len(merges) < vocab_size:
-        now = state.mapInArrow(_replay(tuple(merges[base:]), base), "ids array<int>, copies bigint") if len(merges) > base else state
-        top = pair_counts(now).orderBy(F.desc("n"), "a", "b").limit(1).collect()
-        if not top or top[0].n < 2:
+        width = FIRST_MERGE + len(merges)
+        top = pair_counts(state, groups, width).toPandas()
+        counts = np.zeros((width, width), np.int64)
+        counts[top["a"], top["b"]] = top["n"]
+        found = _next(counts, vocab_size - width)
+        if not found:
             break
-        merges.append((top[0].a, top[0].b))
-        if len(merges) - base >= every:
-            state = written(state.mapInArrow(_replay(tuple(merges[base:]), base), "ids array<int>, copies bigint"), "bpe")
-            base = len(merges)
+        groups.append([(a, b, width + k) for k, (a, b) in enumerate(found)])
+        merges += found
+        if len(merges) - done >= every:
+            state, done = written(state.mapInArrow(_replay(groups), "ids binary, copies bigint"), "bpe"), len(merges)
+            groups = []
     return Tokenizer(tuple(merges), train_manifest_hash)

@@ -53,12 +53,12 @@ def byte_capped_split(spark, d):
 
 def _tokenizer(spark, d):
     train = roles.assign(docs(spark, d).where("text is not null")).where("role = 'TRAIN'")
-    return TK.train(train.select("text"), vocab_size=TK.FIRST_MERGE + 12)
+    return TK.train(train.select("text"))
 
 
 @query()
 def bpe_merges(spark, d):
-    """The first merges of the byte-pair tokenizer of the TRAIN documents, over all their bytes."""
+    """The merges of the byte-pair tokenizer of the TRAIN documents, over all their bytes."""
     t = _tokenizer(spark, d)
     return spark.createDataFrame([(k, a, b, TK.FIRST_MERGE + k) for k, (a, b) in enumerate(t.merges)], "rank int, a int, b int, new_id int")
 

@@ -1,5 +1,6 @@
 import math
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,39 @@ def test_bpe_small(spark):
     assert [r.x for r in df.select(t.decode_column("ids").alias("x")).collect()] == ["éx", None, ""]
 
 
+def slow_merges(texts, most, start=260):
+    seqs, found = [[b + 4 for b in x.encode()] for x in texts], []
+    while len(found) < most:
+        n = {}
+        for s in seqs:
+            for p in zip(s, s[1:]):
+                n[p] = n.get(p, 0) + 1
+        pair = min(n, key=lambda p: (-n[p], p), default=None)
+        if pair is None or n[pair] < 2:
+            break
+        for k, s in enumerate(seqs):
+            r, i = [], 0
+            while i < len(s):
+                hit = i + 1 < len(s) and (s[i], s[i + 1]) == pair
+                r.append(start + len(found) if hit else s[i])
+                i += 1 + hit
+            seqs[k] = r
+        found.append(pair)
+    return found, seqs
+
+
+def test_bpe_trains_to_the_whole_vocabulary(spark, data):
+    from corpusloom.operators import roles
+    from corpusloom.plans import core_queries, corpus
+
+    got = [(r.a, r.b) for r in core_queries()["bpe_merges"](spark, data).orderBy("rank").collect()]
+    rows = roles.assign(corpus.docs(spark, data).where("text is not null")).where("role = 'TRAIN'").collect()
+    want, seqs = slow_merges([unicodedata.normalize("NFC", r.text) for r in rows], 252)
+    assert len(got) == 252 and got == want
+    t = TK.Tokenizer(tuple(got))
+    assert t.encode_many([r.text for r in rows]) == [[1, *s, 2] for s in seqs]
+
+
 def test_bpe_counts_equal_brute_force(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 40))) for _ in range(30)]
