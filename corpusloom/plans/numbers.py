@@ -28,8 +28,12 @@ def format_errors(spark, d):
 @query()
 def byte_embedding_roundtrip(spark, d):
     """Names to vectors and back: how many come back as they were."""
-    x = table(spark, d, "customer", "c_name").select(F.to_binary(F.hex(F.substring("c_name", -16, 16)), F.lit("hex")).alias("b")).where("length(b) > 0")
-    return x.select((B.unembed_bytes(B.embed_bytes("b")) == F.col("b")).alias("same")).groupBy("same").agg(F.count(F.lit(1)).alias("n"))
+    length = B.byte_embedding().length
+    x = table(spark, d, "customer", "c_name").select(F.monotonically_increasing_id().alias("row"), F.encode("c_name", "utf-8").alias("b")).where("length(b) > 0")
+    at = F.sequence(F.lit(0), F.floor((F.length("b") - 1) / length).cast("int"))
+    tokens = x.select("row", F.explode(F.transform(at, lambda k: F.substring("b", k * length + 1, F.lit(length)))).alias("b"))  # longer names are several tokens
+    same = tokens.select("row", (B.unembed_bytes(B.embed_bytes("b")) == F.col("b")).alias("same")).groupBy("row").agg(F.bool_and("same").alias("same"))
+    return same.groupBy("same").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_orderkey, CASE WHEN length(s) > 12 THEN left(s, 11) || '…' ELSE s END AS short, replace(replace('<' || s || '>&', '&', '&amp;'), '<', '&lt;') AS esc FROM (SELECT o_orderkey, o_orderpriority || ' ' || o_orderstatus AS s FROM orders)")

@@ -72,6 +72,16 @@ def test_bpe_small(spark):
     assert [r.x for r in df.select(t.decode_column("ids").alias("x")).collect()] == ["éx", None, ""]
 
 
+def test_whole_names_pass_the_byte_embedding(spark, tmp_path):
+    from corpusloom.plans import core_queries
+
+    assert (B.byte_embedding().width, B.byte_embedding().length) == (768, 32)
+    names = ["Customer#000000001", "ಹೆಸರು" * 9, "x" * 32, "y" * 33, "", None]
+    spark.createDataFrame([(x,) for x in names], "c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    df = core_queries()["byte_embedding_roundtrip"](spark, str(tmp_path))
+    assert [(r.same, r.n) for r in df.collect()] == [(True, 4)]
+
+
 def slow_merges(texts, most, start=260):
     seqs, found = [[b + 4 for b in x.encode()] for x in texts], []
     while len(found) < most:
