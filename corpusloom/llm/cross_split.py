@@ -6,7 +6,7 @@ set's i-th min-wise hash, so two sets of Jaccard similarity J differ in each bit
 blocks; the sides are joined on equal blocks, candidates outside the Hamming radius fall away, and
 the exact similarity of the sets decides. The block length follows the logarithm of the number of
 sets, so that chance meetings stay in proportion to the input; the number of blocks follows from the
-length and the target recall.
+length and a target recall of independent blocks; block_plan states what that gives.
 
 Roles: upper-cased and trimmed; null and blank ones are passed over. Of role_assignment, a document's
 row with the latest assigned_at among those with a role holds (on a tie, the greater role). A document
@@ -54,7 +54,10 @@ def _prints(batches):
 
 
 def block_plan(sets: int, threshold: float, target: float = TARGET) -> tuple[int, int]:
-    """(bits in a block, blocks): a pair at the threshold shares a block with the target chance; unlike sets meet in a block about once for each set or less."""
+    """(bits in a block, blocks): a pair at the threshold would share a block with the target chance, were blocks independent.
+
+    They come from the same BITS bits, whose distance varies: averaged over it, recall at similarity 0.8 is 0.99986 for 9,000 sets,
+    0.99976 for 90,000, 0.99959 for 1,000,000 and 0.99865 for 100,000,000. Unlike sets meet in a block about once for each set or less."""
     length = max(12, math.ceil(math.log2(max(2, sets))) + 1)
     alike = ((1 + threshold) / 2) ** length
     return length, math.ceil(math.log(1 - target) / math.log(1 - alike))
