@@ -38,6 +38,11 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(*_fragments(spark, d))
 
 
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' raw texts in pieces of at most 512 characters, sharing about 64 with the piece before: (doc_id, piece, start, end, boundary)."""
+    return splitting.text_pieces(table(spark, d, "documents", "doc_id", "text")).drop("text")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return chosen_path.near_duplicates(classes(table(spark, d, "corpus", "doc_id", "text"))).select("doc_id_a", "doc_id_b")
 

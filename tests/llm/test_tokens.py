@@ -51,8 +51,12 @@ def test_cut_equals_brute_force(spark):
     got = splitting.cut(df, vocab(spark)).collect()
     assert {(r.parent_doc_id, r.token_offset_in_parent, r.token_end_in_parent) for r in got} == want
     tokens = {i: t for i, _, _, t, *_ in rows}
+    start = {}
+    for i, p, k, t, o, *_ in rows:
+        start[i] = o if o is not None else sum(len(u) for u in {j: u for j, q, m, u, *_ in rows if q == p and m < k}.values())
     for r in splitting.pieces(df, vocab(spark)).collect():
-        assert len(r.tokens) <= 128 and r.doc_id in tokens
+        at = r.token_offset_in_parent - start[r.doc_id]
+        assert len(r.tokens) <= 128 and r.tokens == tokens[r.doc_id][at : at + len(r.tokens)]
 
 
 def test_pieces_give_the_fragment_back(spark):
@@ -76,6 +80,30 @@ def test_unknown_ids_and_empty(spark):
         splitting.cut(df, vocab(spark), limit=10, overlap=20)
 
 
+def test_text_spans():
+    rng = random.Random(8)
+    for _ in range(200):
+        t = "".join(rng.choice(["a", "bc ", ". ", "\n", "\n\n", "\n# ", "ದೀರ್ಘ", "x" * 30]) for _ in range(rng.randint(0, 120)))
+        spans = splitting.text_spans(t, 60, 12)
+        assert all(0 < e - s <= 60 for s, e, _ in spans)
+        assert not t and not spans or spans[0][0] == 0 and spans[-1][1] == len(t)
+        for (s, e, _), (u, v, _) in zip(spans, spans[1:]):
+            assert s < u <= e < v and e - u <= 12
+    two = "A first line.\n\n" + "word " * 8 + "\n# Part two\n" + "more " * 8
+    assert [k for *_, k in splitting.text_spans(two, 60, 0)] == ["section", "end"]
+    assert splitting.text_spans("y" * 130, 60, 10) == [(0, 50, "character"), (40, 100, "character"), (90, 130, "end")]
+    with pytest.raises(ValueError):
+        splitting.text_spans("y", 10, 10)
+
+
+def test_text_pieces(spark):
+    rows = [(1, "one two " * 40), (1, "one two " * 40), (2, None), (3, ""), (4, "short")]
+    df = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id bigint, text string, piece int, start int")
+    got = splitting.text_pieces(df, 100, 10).orderBy("doc_id", "piece").collect()
+    assert {r.doc_id for r in got} == {1, 4} and all(len(r.text) == r.end - r.start <= 100 for r in got) and got[-1].text == "short"
+    assert splitting.text_pieces(df.limit(0)).count() == 0
+
+
 def fewest(lengths, capacity=128):
     best = len(lengths)
     order = sorted(lengths, reverse=True)
