@@ -10,8 +10,11 @@ of any size is packed in parallel; what a batch wastes does not depend on the nu
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,6 +24,10 @@ from pyspark.sql import functions as F
 
 CAPACITY = 128
 BATCH = 256
+#: States that the complete search of one group may go through (some 200 bytes each) before it raises.
+MOST_STATES = 1_000_000
+#: Items of one group up to which differencing is tried; its time grows with items times windows. Larger groups go to the bounds and the complete search at once.
+MOST_LEVELLED = 20_000
 
 
 def differencing(lengths: Sequence[int], k: int) -> list[list[int]]:
@@ -88,53 +95,73 @@ def pack(lengths: Sequence[int], capacity: int = CAPACITY) -> list[list[int]]:
     return full
 
 
-def fits(lengths: Sequence[int], k: int, capacity: int = CAPACITY) -> bool:
-    """Whether the items go into k containers: an exact search, fullest-first with the states seen before left out.
+class Undecided(Exception):
+    """The complete search went through most_states states of a group without an answer."""
 
-    Items are placed by falling length; containers with equal room are interchangeable, so a state is
-    the number of placed items and the sorted rooms.
+
+def paired_off(lengths: Sequence[int], capacity: int) -> tuple[list[int], int]:
+    """(the other lengths, containers used): items of the capacity, and pairs that fill a container, packed together, as some best packing has them."""
+    count = Counter(n for n in lengths if n < capacity)
+    used = len(lengths) - count.total()
+    for n in [n for n in count if 2 * n <= capacity]:
+        pairs = count[n] // 2 if 2 * n == capacity else min(count[n], count.get(capacity - n, 0))
+        count[n] -= 2 * pairs if 2 * n == capacity else pairs
+        if 2 * n < capacity and pairs:
+            count[capacity - n] -= pairs
+        used += pairs
+    return sorted(count.elements(), reverse=True), used
+
+
+def fewest_by_classes(lengths: Sequence[int], capacity: int) -> int:
+    """A number of containers that any packing needs (the published bound L2): for each a, items over capacity - a stand alone, those over the half one each, and the rest from a on fill what these leave."""
+    best = math.ceil(sum(lengths) / capacity)
+    for a in {n for n in lengths if 2 * n <= capacity} | {0}:
+        alone = sum(n > capacity - a for n in lengths)
+        big = [n for n in lengths if capacity - a >= n and 2 * n > capacity]
+        small = sum(n for n in lengths if a <= n and 2 * n <= capacity)
+        best = max(best, alone + len(big) + max(0, math.ceil((small - (len(big) * capacity - sum(big))) / capacity)))
+    return best
+
+
+def complete_differencing(lengths: Sequence[int], k: int, capacity: int = CAPACITY, most_states: int = MOST_STATES) -> bool:
+    """Whether the items go into k containers, by the complete form of differencing.
+
+    The partition of largest spread takes in the next largest item in every way that differs, where
+    differencing takes only the one that levels most: the same merge, with what it leaves out as further
+    branches. A state is the number of items taken in and the room left in each window, sorted; states seen
+    before, and those whose room cannot hold the rest, are left out. Beyond most_states states it raises
+    Undecided: the problem is NP-complete, so some bound has to be stated, and it never guesses.
     """
-    order = sorted(lengths, reverse=True)
-    if fewest_by_bound(order, capacity) > k:
+    order, used = paired_off(lengths, capacity)
+    k -= used
+    if any(n > capacity for n in order) or k < 0 or fewest_by_classes(order, capacity) > k:
         return False
-    if not order:
-        return True
-    if order[0] > capacity:
-        return False
-    after = [0]
-    for n in reversed(order):
-        after.append(after[-1] + n)
-    after.reverse()
-    seen: set[tuple] = set()
-    stack = [(0, tuple([capacity] * k))]
+    after = [*itertools.accumulate(reversed(order), initial=0)][::-1]
+    seen, stack = set(), [(0, (capacity,) * k)]
     while stack:
         i, rooms = stack.pop()
         if i == len(order):
             return True
-        if (i, rooms) in seen:
-            continue
-        seen.add((i, rooms))
-        n = order[i]
-        smallest = order[-1]
+        n, smallest = order[i], order[-1]
         if sum(r for r in rooms if r >= smallest) < after[i]:
             continue
-        if n in rooms:
-            options = [n]
-        else:
-            options = sorted({r for r in rooms if r >= n}, reverse=True)
-        for r in options:
-            new = list(rooms)
-            new.remove(r)
-            new.append(r - n)
-            new.sort()
-            stack.append((i + 1, tuple(new)))
+        for r in [n] if n in rooms else sorted({r for r in rooms if r >= n}, reverse=True):
+            left = list(rooms)
+            left.remove(r)
+            bisect.insort(left, r - n)
+            state = (i + 1, tuple(left))
+            if state not in seen:
+                seen.add(state)
+                stack.append(state)
+        if len(seen) > most_states:
+            raise Undecided(f"{len(lengths)} items, {k + used} containers: undecided after {most_states} states; raise most_states")
     return False
 
 
 def batches_of(doc_tokens: DataFrame, batch: int = BATCH) -> DataFrame:
     """The lanes' items with the batch each goes to: the batches of a lane are as many as its items need."""
     per_lane = doc_tokens.groupBy("lane").agg(F.ceil(F.count(F.lit(1)) / F.lit(batch)).alias("batches"))
-    return doc_tokens.join(F.broadcast(per_lane), "lane").withColumn("group_index", F.pmod(F.xxhash64("doc_id"), F.col("batches")).cast("int")).drop("batches")
+    return doc_tokens.join(per_lane, "lane").withColumn("group_index", F.pmod(F.xxhash64("doc_id"), F.col("batches")).cast("int")).drop("batches")
 
 
 def _sequences(capacity: int):
@@ -190,33 +217,41 @@ def group_items(packed: DataFrame) -> DataFrame:
     return packed.select("lane", "group_index", "seq_id", blocks.alias("blocks")).select("lane", "group_index", "seq_id", lengths.alias("lengths")).dropDuplicates(["lane", "group_index", "seq_id"])
 
 
-def _judge(capacity: int):
+def group_counts(packed: DataFrame) -> DataFrame:
+    """(lane, group_index, sequences, lengths): a group's items as (length, number) pairs, one for each length: at most as many as the capacity, however large the group."""
+    own = group_items(packed)
+    number = own.groupBy("lane", "group_index").agg(F.count(F.lit(1)).cast("int").alias("sequences"))
+    by_length = own.select("lane", "group_index", F.explode("lengths").alias("length")).groupBy("lane", "group_index", "length").agg(F.count(F.lit(1)).alias("k"))
+    items = by_length.groupBy("lane", "group_index").agg(F.collect_list(F.struct("length", "k")).alias("lengths"))
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"i.{c}")) for c in ("lane", "group_index")]
+    return number.alias("n").join(items.alias("i"), same[0] & same[1], "left").select("n.lane", "n.group_index", "sequences", "lengths")
+
+
+def _judge(capacity: int, most_states: int):
     def go(lengths: Sequence[int], have: int) -> tuple[int, str]:
-        """(containers, how): the fewest containers known for a group, and whether differencing or the search found them."""
-        most = pack(lengths, capacity)
-        best = len(most)
+        """(containers, how): the fewest containers known for a group, and how they were found."""
+        if fewest_by_classes(lengths, capacity) >= have:
+            return have, "none"
+        best = len(pack(lengths, capacity)) if len(lengths) <= MOST_LEVELLED else have
         if best < have:
             return best, "differencing"
-        if fewest_by_bound(lengths, capacity) < have and fits(lengths, have - 1, capacity):
-            return have - 1, "search"
-        return have, "none"
+        return (have - 1, "complete differencing") if complete_differencing(lengths, have - 1, capacity, most_states) else (have, "none")
 
     def batches(it):
         for b in it:
-            judged = [go([n for n in x if n > 0], h) for x, h in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            judged = [go([n["length"] for n in x or [] for _ in range(n["k"])], h) for h, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(3), pa.array([x for x, _ in judged], pa.int32()), pa.array([y for _, y in judged])],
+                [b.column(0), b.column(1), b.column(2), pa.array([x for x, _ in judged], pa.int32()), pa.array([y for _, y in judged])],
                 names=["lane", "group_index", "sequences", "fewer", "how"],
             )
 
     return batches
 
 
-def repackable(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def repackable(packed: DataFrame, capacity: int = CAPACITY, most_states: int = MOST_STATES) -> DataFrame:
     """(lane, group_index, sequences, fewer, how) of the groups whose items fit into fewer containers than they take.
 
-    Differencing decides first; where it stays at the group's own number and the sum would allow
-    fewer, an exact search does. A group is a packing unit of bounded size (the packer's batch).
+    Differencing decides; where it stays at the group's own number and no bound excludes fewer, its complete
+    form does. A group goes to Python as its counts by length. A group of null lane or index is one of its own.
     """
-    groups = group_items(packed).groupBy("lane", "group_index").agg(F.flatten(F.collect_list("lengths")).alias("lengths"), F.count(F.lit(1)).cast("int").alias("sequences"))
-    return groups.mapInArrow(_judge(capacity), "lane string, group_index int, sequences int, fewer int, how string").where("fewer < sequences")
+    return group_counts(packed).mapInArrow(_judge(capacity, most_states), "lane string, group_index int, sequences int, fewer int, how string").where("fewer < sequences")

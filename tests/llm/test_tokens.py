@@ -133,7 +133,10 @@ def test_differencing_and_search():
         k, got = fewest(x), packing.pack(x)
         assert sorted(i for w in got for i in w) == list(range(len(x)))
         assert all(sum(x[i] for i in w) <= 128 for w in got) and len(got) >= k >= packing.fewest_by_bound(x, 128)
-        assert packing.fits(x, k) and not packing.fits(x, k - 1)
+        assert packing.complete_differencing(x, k) and not packing.complete_differencing(x, k - 1)
+        assert packing.fewest_by_classes(x, 128) <= k
+    with pytest.raises(packing.Undecided):
+        packing.complete_differencing([51, 27, 26, 23, 43, 42, 40, 3] * 6, 12, most_states=5)
     assert packing.pack([]) == [] and packing.pack([128, 128]) == [[0], [1]]
     assert sorted(map(len, packing.differencing([4, 4, 4, 4], 2))) == [2, 2]
 
