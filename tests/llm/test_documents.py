@@ -41,13 +41,12 @@ def brute(items, docs):
     return out
 
 
-@pytest.mark.parametrize("bound", [4_000_000, 0])
-def test_verbatim_leaks_equal_brute_force(spark, bound):
+@pytest.mark.parametrize("bits", [leaks.MOST_BITS, 1 << 12])
+def test_verbatim_leaks_equal_brute_force(spark, bits):
     items, docs = corpus()
-    docs = docs if bound else docs[:40]
     a = spark.createDataFrame([(i, t, 1) for i, t in items + items[:5]], ITEMS)
     b = spark.createDataFrame([(i, t, "s", 1, 1) for i, t in docs + docs[:5]], DOCS)
-    got = leaks.leaks(a, b, keys_bound=bound).where("verbatim > 0").collect()
+    got = leaks.leaks(a, b, most_bits=bits).where("verbatim > 0").collect()
     assert {(r.item_id, r.doc_id) for r in got} == brute(items, docs)
 
 
@@ -62,6 +61,26 @@ def test_reparameterised(spark):
     assert leaks.leaks(a.limit(0), b).count() == 0 and leaks.leaks(a, b.limit(0)).count() == 0
 
 
+def test_reparameterised_with_names_of_no_list(spark):
+    part = "one morning before the market opened, {} walked with {} from {} to the next village and sold {} baskets of fruit"
+    given = [("Ravindra", "Shankari", "Uttanur", 12), ("Manohar", "Leelavati", "Belagere", 70), ("Manohar", "Manohar", "Belagere", 70), ("the man", "Leelavati", "Belagere", 70)]
+    docs = [(k, "Years ago, " + part.format(*g)) for k, g in enumerate(given[1:], 1)] + [(9, "for a week Manohar met, Leelavati said, with Ravindra and, Shankari thought, near Belagere or near Uttanur")]
+    a, b = spark.createDataFrame([(7, "Years ago, " + part.format(*given[0]), 1)], ITEMS), spark.createDataFrame([(i, t, "s", 1, 1) for i, t in docs], DOCS)
+    got = {r.doc_id: (r.verbatim, r.reparameterised) for r in leaks.leaks(a, b).collect()}
+    assert set(got) == {1, 2, 3} and all(v == 0 for v, _ in got.values())
+    assert got[1][1] > max(got[2][1], got[3][1])  # windows with one name for two, or with a word that is none, are no leaks
+    assert {r.word for r in leaks.learnt_names(a, b).collect()} >= {"ravindra", "leelavati", "belagere"}
+
+
+def test_rows_of_numbers_go_by_themselves(spark):
+    items = [(1, "7"), (2, " ".join(map(str, range(13)))), (3, "5 kg")]
+    docs = [(k, f"{k} {k + 1} {k + 2}") for k in range(40)] + [(90, " ".join(map(str, range(20)))), (91, " ".join(map(str, range(100, 130)))), (92, "about 5 kg"), (93, "about 6 kg")]
+    a, b = spark.createDataFrame([(i, t, 1) for i, t in items], ITEMS), spark.createDataFrame([(i, t, "s", 1, 1) for i, t in docs], DOCS)
+    m = leaks.matches(a, b)
+    assert m.where("not verbatim").count() == 0
+    assert {(r.item_id, r.doc_id) for r in m.collect()} == brute(items, docs)
+
+
 def test_windows_of_one_template_are_kept_apart(spark):
     part = "in question {} the class counts each of the old coins by hand again "
     item = "".join(part.format(n) for n in (3, 4, 5, 6, 7))
