@@ -5,11 +5,16 @@ backticks, code elements), as texts that show a template as code only speak abou
 
 placeholder   a grammar for each kind of delimiter. Delimiters that ordinary text never uses take any
               name; ambiguous ones (single braces, angle and square brackets, single percent signs) only
-              take names of template fields, or calls to fill something in. Values that were never
-              rendered count where they stand for a value.
+              take names of template fields, calls to fill something in, or any name in a place that is
+              there to be filled (behind a salutation, say). Values that were never rendered count where
+              they stand for a value. A hit is discounted where the words around it quote or explain it;
+              a text where as many hits are explained as not speaks about them. Doubled brackets and
+              angles also mark links and operators: names that are no fields are weighed by how densely
+              such marks stand.
 filler        a stretch of words of one filler vocabulary, or a filler sentence said more than once or alone.
 error         sentences of error pages, program errors, browser checks and scripts-required notices,
-              matched from start to end, and too little other text beside them to be content.
+              matched from start to end, and too little other text beside them to be content. Lines
+              that are menus are no content, whatever their number.
 
 A null or empty text is no case. Copies are judged alike.
 """
@@ -57,6 +62,7 @@ _code = regex.compile(r"```.*?(?:```|\Z)|~~~\n.*?(?:~~~|\Z)|``[^\n]*?``|`[^`\n]*
 _NAME = r"[\p{L}_][\p{L}\p{M}\p{N}_.‌‍-]{0,40}"
 _FIELD = "(?:" + "|".join(sorted((regex.escape(f) for f in FIELDS), key=len, reverse=True)) + r"|[a-z]+(?:_[a-z0-9]+)+)"
 _UPPER = "(?:" + "|".join(sorted((f.upper() for f in FIELDS if f.isascii()), key=len, reverse=True)) + r"|[A-Z]+(?:_[A-Z0-9]+)+)"
+_CAPITAL_FIELD = "|".join(sorted((f.upper() for f in FIELDS if f.isalpha() and f.isascii()), key=len, reverse=True))
 _KN_FIELD = "(?:" + "|".join(sorted((f for f in FIELDS if not f.isascii()), key=len, reverse=True)) + ")"
 _FILL_VERB = r"(?:insert|enter|add|type|your|put|fill in|choose|select|write)"
 _KN_FILL = r"(?:ಬರೆಯಿರಿ|ಸೇರಿಸಿ|ನಮೂದಿಸಿ|ಹಾಕಿ|ತುಂಬಿ|ಟೈಪ್ ಮಾಡಿ|ಭರ್ತಿ ಮಾಡಿ)"
@@ -79,22 +85,39 @@ GRAMMARS = {
     "underscores": r"(?<![\p{L}\p{N}_])__(?:[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*|" + _KN_FIELD + r")__(?![\p{L}\p{N}_])",
     "at signs": r"@@" + _NAME + r"@@",
     "tildes": r"(?<![\p{L}\p{N}~])~(?:" + _UPPER + "|" + _KN_FIELD + r")~(?![\p{L}\p{N}~])",
-    "double angles": r"<<\s*" + _NAME + r"\s*>>|&lt;&lt;\s*" + _NAME + r"\s*&gt;&gt;|«" + _FIELD + r"»",
+    "double angles": r"<<\s*(?P<name>" + _NAME + r")\s*>>|&lt;&lt;\s*" + _NAME + r"\s*&gt;&gt;|«" + _FIELD + r"»",
     "single angles": r"(?<![\p{L}\p{N}<])<(?:(?!title>|body>|link>|section>|summary>|time>|address>)" + _FIELD + r"|(?:title|summary|section|address)(?=>(?:(?!</).)*\Z)|(?i:" + _FILL_VERB + r")\s[^<>\n]{1,40})>(?!>)",
-    "double brackets": r"\[\[\s*" + _NAME + r"\s*\]\]",
+    "double brackets": r"\[\[\s*(?P<name>" + _NAME + r")\s*\]\]",
     "bracket and hash": r"\[#" + _NAME + r"#\]",
-    "brackets": r"(?<!\[)\[(?:" + _UPPER + "|" + _KN_FIELD + r"|TBD|TBA|TBC|TODO|FIXME|PLACEHOLDER|XX+)\](?![\](])",
+    "brackets": r"(?<!\[)\[(?:" + _UPPER + "|(?:[A-Z]+ ){1,3}(?:" + _CAPITAL_FIELD + ")|(?:" + _CAPITAL_FIELD + ")(?: [A-Z]+){1,3}|" + _KN_FIELD + r"|TBD|TBA|TBC|TODO|FIXME|PLACEHOLDER|XX+)\](?![\](])",
     "bracketed call": r"\[(?i:" + _FILL_VERB + r"\s[^\[\]\n]{1,60}|[^\[\]\n]{1,60}\s(?:to be (?:added|filled|confirmed|decided|inserted|announced|supplied)|goes here|here))\]",
     "bracketed Kannada call": r"[\[(<{](?:[^\[\](){}<>\n]{0,40}\s)?ಇಲ್ಲಿ\s[^\[\](){}<>\n]{0,40}?" + _KN_FILL + r"[\])>}]|[\[(<{][^\[\](){}<>\n]{1,40}\s" + _KN_FILL + r"[\])>}]",
     "parenthesised call": r"\((?i:" + _FILL_VERB + r"\s[^()\n]{1,40}\shere)\)|\([^()\n]{1,40}\s(?:GOES|COMES|TO GO)\sHERE\)",
     "note to self": r"\b(?:TODO|FIXME|TBD)\s?:\s*(?i:add|insert|write|fill|replace|complete|update|describe)\b",
     "mask": r"(?<![\p{L}\p{N}/])(?:XX/XX/XX(?:XX)?|DD/MM/YYYY|MM/DD/YYYY|YYYY-MM-DD|XX-XX-XXXX|XXX-XXX-XXXX|\bHH:MM\b)(?![\p{L}\p{N}/])",
     "unrendered object": r"\[object [A-Z]\w*\]|(?<![\p{L}\p{N}_.])(?:#(?:REF|N/A|VALUE|NAME\?)!?)(?![\p{L}\p{N}])",
+    "salutation": r"(?<![\p{L}\p{M}\p{N}])(?i:dear|hello|hi|hey|welcome(?: back)?|greetings|thank you|thanks|sincerely|regards|sent to|posted by|written by|signed by|prepared for|addressed to|ನಮಸ್ಕಾರ|ಪ್ರಿಯ|ಆತ್ಮೀಯ|ಸ್ವಾಗತ),?\s(?:\{[\p{L}_][\p{L}\p{M}\p{N}_ .]{1,40}\}|<[\p{L}_][\p{L}\p{M}\p{N}_ ]{1,40}>|\[\p{Lu}[\p{L}\p{M}\p{N}_'’]*(?: \p{Lu}[\p{L}\p{M}\p{N}_'’]*){0,4}\](?![\](]))",
     "unrendered value": r"(?<![\p{L}\p{N}_.'\"“‘(-])(?:undefined|NaN|null|None)(?=(?:\s\p{Kannada})|[.,!?;:]|\s*\Z|\s(?:and|on|by|before|begins|in|was|will|the|our|is)\b)(?!\s(?:behaviou?r|variable|pointer|value|hypothesis|of\b))",
 }
 _placeholder = [(kind, regex.compile(g, regex.S if kind == "single angles" else 0)) for kind, g in GRAMMARS.items()]
 _may_hold = regex.compile(r"[\[{<%@~«]|__|#\{|&lt;|\((?:\p{Lu}|\p{Kannada}|\p{Ll}+ )|TODO|FIXME|TBD|XX|DD/|MM/|YYYY|HH:|undefined|NaN|null|None|#(?:REF|N/A|VALUE|NAME)").search
 
+#: What stands before or behind a mark that is spoken about.
+_EXPLAINED_BEFORE = (
+    r"(?:like|such as|called|named|known as|as in|e\.g\.|i\.e\.|for example|for instance|namely|literal(?:ly)?|means?|denotes?|spelled|using|use|type|write|writes|writing|typing|the (?:double |single |curly )?"
+    r"(?:mark|marker|placeholder|variable|tag|token|syntax|field|expression|string|macro|notation|pattern|template|construct|operator|delimiters?|braces?|brackets?|link|form|sequence|symbol))[,:]?\s(?:an? |the )?[\"'“‘(]?$"
+)
+_EXPLAINED_BEHIND = (
+    r"^[\"'”’)]?,?\s(?:(?:is|are|was|were|gets?|will be|would be|can be|must be|should be|has to be)\s(?:then |always |later |never )?(?:replaced|filled|rendered|substituted|expanded|swapped|parsed|resolved|evaluated|interpreted|escaped|written|read as|turned into|called|an? |the (?:placeholder|variable|tag|syntax|name|value|mark))"
+    r"|(?:stands? for|means?|denotes?|refers? to|marks? (?:the|a|where)|inserts?|prints?|outputs?|renders?|expands?)\s|(?:style|syntax|placeholders?|notation|tags?|variables?|markers?|delimiters?|expressions?|macros?|marks?|operators?|links?|tokens?)(?![\p{L}\p{N}])|to (?:print|insert|show|mark|output|refer|display|render)\s|as (?:an? |the )?(?:field|placeholder|variable|tag|marker|name|token|symbol)(?![\p{L}\p{N}])|ಎಂದು (?:ಬರೆ|ಕರೆ)|ಎಂಬ (?:ಗುರುತು|ಚಿಹ್ನೆ))"
+)
+_before, _behind = regex.compile("(?i)" + _EXPLAINED_BEFORE).search, regex.compile("(?i)" + _EXPLAINED_BEHIND).search
+_QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’"}
+_field = regex.compile(r"(?i:" + "|".join(sorted((regex.escape(f) for f in FIELDS), key=len, reverse=True)) + r")|[a-z]+(?:_[a-z0-9]+)+|[A-Z]+(?:_[A-Z0-9]+)*").fullmatch
+_linked = regex.compile(r"\[\[[^\[\]\n]{1,80}\]\]|<<[^<>\n]{1,40}>>").findall
+#: Doubled brackets or angles with different contents from which a text uses them as links or operators.
+LINKS = 3
+
 _latin = frozenset(LATIN_FILLER)
 _keys = frozenset(KEYBOARD_FILLER)
 _word = regex.compile(r"[\p{L}\p{M}\p{N}_‌‍]+")
@@ -102,7 +125,7 @@ _filler_sentence = regex.compile(r"(?i)(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(FIL
 _quoted = regex.compile(r"(?<![\p{L}\p{M}\p{N}])'[^'\n]{1,80}'(?![\p{L}\p{M}\p{N}])|\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|‘[^’\n]{1,80}’").sub
 
 _JS = r"(?:java ?script|js|(?:client-side )?scripts?|scripting|ಜಾವಾ ?ಸ್ಕ್ರಿಪ್ಟ್|ಸ್ಕ್ರಿಪ್ಟ್(?:‌?ಗಳು|‌?ಗಳನ್ನು|‌ಗಳನ್ನು)?)"
-_WHAT = r"(?:page|site|website|file|resource|recording|article|document|address|url|link|content|story|item|record|item)"
+_WHAT = r"(?:page|site|website|file|resource|recording|article|document|address|url|link|content|story|item|record|video|image|photo|picture|product|listing|post|account|service|feature|channel)"
 #: Sentences that error pages, failed programs, browser checks and script notices consist of.
 NOTICES = (
     r"(?:http )?(?:status |error |ದೋಷ )?(?:code )?[45]\d\d\s*[:–-]?\s*(?:not found|forbidden|bad gateway|service unavailable|internal server error|gateway time-?out|bad request|unauthorized|too many requests|gone|request time-?out|moved)",
@@ -122,7 +145,7 @@ NOTICES = (
     r"traceback \(most recent call last\)\s*:?|file \"[^\"\n]+\", line \d+(?:, in [\w.<>]+)?|(?:[\w.]*\.)?\w*(?:Error|Exception)\b(?:\s*:[^\n]{0,80})?|at [\w.$<>]+\([\w.]*(?::\d+)?\)|caused by\s*:[^\n]{0,80}|stack trace\s*:?|exception in thread[^\n]{0,80}",
     r"(?:php )?(?:warning|notice|deprecated|parse error)\s*:\s*[\w\\:]+\([^()\n]{0,60}\)[^\n]{0,160}|[A-Z]{2,5}-\d{4,6}\s*:[^\n]{0,80}|sqlstate\s*\[[^\]\n]{1,12}\][^\n]{0,120}|(?:my)?sql(?: syntax)? error[^\n]{0,100}|query failed[^\n]{0,60}|call to undefined (?:function|method)[^\n]{0,80}|cannot read propert[^\n]{0,80}|[\w.]+ is not (?:defined|a function)|no such file or directory[^\n]{0,80}",
     r"(?:we're|we are) sorry,? but [^.!?\n]{1,60} without " + _JS + r"[^.!?\n]{0,40}",
-    r"checking (?:your browser|if the site connection is secure)[^.!?\n]{0,60}|(?:please )?(?:verify|confirm|prove|make sure)(?: that)? you(?:'re| are) (?:not a robot|human|a human)[^.!?\n]{0,30}|just a moment|complete the (?:captcha|security check)[^.!?\n]{0,40}|ddos protection by [^.!?\n]{0,30}|this process is automatic[^.!?\n]{0,60}|your browser will redirect[^.!?\n]{0,60}|please (?:wait|stand by)[^.!?\n]{0,40}",
+    r"checking (?:your browser|if the site connection is secure)[^.!?\n]{0,60}|(?:please )?(?:verify|confirm|prove|make sure)(?: that)? you(?:'re| are) (?:not a robot|human|a human)[^.!?\n]{0,30}|just a moment|(?:please )?complete the (?:captcha|security check)[^.!?\n]{0,40}|attention required|one more step|unusual (?:traffic|activity)[^.!?\n]{0,60}|ddos protection by [^.!?\n]{0,30}|this process is automatic[^.!?\n]{0,60}|your browser will redirect[^.!?\n]{0,60}|please (?:wait|stand by)[^.!?\n]{0,40}",
     r"(?:you need|please|you must|you have|kindly)?\s*(?:to )?(?:enable|turn on|activate|allow|switch on) " + _JS + r"(?: and cookies)?[^.!?\n]{0,60}",
     r"(?:this|the|our) (?:site|page|app|application|website|content) (?:requires|needs|relies on|works best with|will not work without|does not work without) " + _JS + r"[^.!?\n]{0,40}",
     r"(?:your|this) browser (?:does not|doesn't|do not) support " + _JS + r"[^.!?\n]{0,60}|" + _JS + r" (?:is|are|has been|must be|seems to be) (?:disabled|required|blocked|turned off|off|needed|not enabled|enabled|switched off)[^.!?\n]{0,60}|some parts of this page will not work|if nothing appears[^.!?\n]{0,60}|then reload(?: the page)?|reload the page[^.!?\n]{0,30}",
@@ -146,6 +169,16 @@ _may_frame = regex.compile(r"(?i)file \"[^\"\n]{1,300}\", line \d|\bat [^\n(]{1,
 FRAME = "\uffff"
 _notice = regex.compile(r"(?i)(?<![\p{L}\p{M}\p{N}])(?:" + "|".join((*NOTICES, FRAME)) + r")(?![\p{L}\p{M}\p{N}])")
 _menu = regex.compile(r"(?i)\b(?:skip to content|menu|back to home|home|search|sign in|log in|contact|about)\b|ಮುಖಪುಟ|ಸುದ್ದಿ|ಸಂಪರ್ಕ|ಲೇಖನ|ಅಂಕಣ|ಹಿಂದಕ್ಕೆ ಹೋಗಿ|ಹುಡುಕಿ")
+# Words of navigation.
+NAVIGATION = """home news sport sports weather business politics world opinion culture travel video videos photos gallery about contact login logout log in sign
+up register help faq privacy policy terms sitemap site map search subscribe newsletter menu archive archives categories category tags blog shop store cart
+account profile settings careers jobs advertise cookies rss twitter facebook instagram youtube share print email back next previous top skip to content main
+events services products support download downloads documentation docs forum community team company press media partners science health technology tech
+education entertainment lifestyle local national international latest popular trending topics sections features reviews music movies books food all more
+us you our the and of in my start explore discover library language english kannada ಮುಖಪುಟ ಸುದ್ದಿ ಸಂಪರ್ಕ ಲೇಖನ ಲೇಖನಗಳು ಅಂಕಣ ಹುಡುಕಿ ಕ್ರೀಡೆ ಹವಾಮಾನ ವಾಣಿಜ್ಯ
+ರಾಜಕೀಯ ಜಗತ್ತು ಅಭಿಪ್ರಾಯ ಸಂಸ್ಕೃತಿ ವಿಡಿಯೋ ಚಿತ್ರಗಳು ಸಿನಿಮಾ ಮನರಂಜನೆ ಆರೋಗ್ಯ ತಂತ್ರಜ್ಞಾನ ಶಿಕ್ಷಣ ಸಹಾಯ ಪ್ರವೇಶ ನೋಂದಣಿ""".split()
+_navigation = frozenset(NAVIGATION)
+_entries = regex.compile(r"\s*[|•·»›>/,\t]\s*|\s{2,}").split
 #: Words beside the notices, menus aside, that a headline and no content has at most.
 HEADLINE = 30
 # What every notice, and every filler, holds in lower case.
@@ -155,7 +188,7 @@ maintenance|under construction|search box|home page|back to home|permission|bloc
 nginx|fatal error|uncaught|exception|error|segmentation|core dumped|traceback|file "|checking|verify|robot|human|just a moment|captcha|ddos
 please wait|stand by|redirect|java script|javascript| js|js |scripts|scripting|not support|ಸ್ಕ್ರಿಪ್ಟ್|ಪುಟ|ದೋಷ|ನಿರಾಕರಿಸ|ತೆರೆಯು|ತಾಂತ್ರಿಕ|ಪ್ರಯತ್ನಿಸಿ
 ಲಭ್ಯವಿಲ್ಲ|ora-|sqlstate|query failed|warning:|no such file|http|went wrong|gone|too many requests|is not defined|not a function|notice:
-backend|no longer here|be shown|this site|too busy|reachable|refused|oops|ಕ್ಷಮಿಸಿ|ದೊರೆಯು|ಅಸ್ತಿತ್ವ|ಸಿಗ|ಪರಿಶೀಲಿಸಿ|ಕಡತ|ಅಳಿಸ|undefined f|cannot read|parse error|stack trace|caused by|reload""".replace("\n", "|").split("|")
+backend|no longer here|be shown|this site|security check|one more step|unusual t|unusual a|too busy|reachable|refused|oops|ಕ್ಷಮಿಸಿ|ದೊರೆಯು|ಅಸ್ತಿತ್ವ|ಸಿಗ|ಪರಿಶೀಲಿಸಿ|ಕಡತ|ಅಳಿಸ|undefined f|cannot read|parse error|stack trace|caused by|reload""".replace("\n", "|").split("|")
 FILLER_KEYS = """lorem|ipsum|amet|blah|asdf|qwerty|xxxx|foo bar|test test|dolor|aliqua|tempor|faucibus|placeholder|sample text|sample co|sample pa|dummy|filler
 type s|type y|write s|goes here|here to|click|add your|add a|your text|your content|text here|content here|title here|something|example text|example se
 enter your|insert your|add some|put your|tap to|description|ಪಠ್ಯ|ಏನಾದರೂ|ವಿಷಯ ಇಲ್ಲಿ|ಇಲ್ಲಿ ವಿಷಯ|ಲೇಖನ ಇಲ್ಲಿ|ವಿವರಣೆ""".replace("\n", "|").split("|")
@@ -167,13 +200,34 @@ for _k in {*NOTICE_KEYS, *FILLER_KEYS, *_latin_keys, *KEYBOARD_FILLER}:
 _keyed.make_automaton()
 
 
+def _explained(text: str, at: int, end: int) -> bool:
+    """Whether the words around text[at:end] quote or explain it."""
+    if at and end < len(text) and _QUOTES.get(text[at - 1]) == text[end]:
+        return True
+    return bool(_before(text[max(0, at - 60) : at].rsplit("\n", 1)[-1]) or _behind(text[end : end + 60].split("\n", 1)[0]))
+
+
+def _a_field(name: str | None, links: int) -> bool:
+    """Whether a name in doubled brackets or angles, of a text with so many different ones, is one to be filled in, rather than a link or an operand."""
+    return name is None or bool(_field(name)) or len(name) > 2 and name.islower() and links < LINKS
+
+
 def placeholder(text: str) -> str | None:
-    """The kind of the first placeholder grammar that text, free of code, satisfies."""
-    if _may_hold(text):
-        for kind, grammar in _placeholder:
-            if grammar.search(text):
-                return kind
-    return None
+    """The kind of placeholder that text, free of code, has: of the first hit that the words around it do not explain, where fewer hits are explained than not."""
+    if not _may_hold(text):
+        return None
+    kinds, explained, links = [], 0, None
+    for kind, grammar in _placeholder:
+        for m in grammar.finditer(text):
+            if kind in ("double brackets", "double angles"):
+                links = len(set(_linked(text))) if links is None else links
+                if not _a_field(m.groupdict().get("name"), links):
+                    continue
+            if kind != "salutation" and _explained(text, *m.span()):
+                explained += 1
+            else:
+                kinds.append(kind)
+    return kinds[0] if len(kinds) > explained else None
 
 
 def filler(text: str) -> bool:
@@ -192,6 +246,18 @@ def filler(text: str) -> bool:
     return len(said) > 1 or len(said) == 1 and said[0] > 0.5 * len(text.strip())
 
 
+def _menu_line(line: str) -> bool:
+    """Whether a line is a menu: short entries, half of their words or more those of navigation."""
+    entries = [e.split() for e in _entries(line.strip()) if e]
+    words = [w.strip(".:!?()[]").lower() for e in entries for w in e]
+    return bool(words) and (len(entries) > 1 or len(words) <= 3) and all(len(e) <= 4 for e in entries) and 2 * sum(w in _navigation for w in words) >= len(words)
+
+
+def without_menus(text: str) -> str:
+    """text with its menu lines blank."""
+    return "\n".join("" if len(x) < 2000 and _menu_line(x) and not _notice.search(x) else x for x in text.split("\n"))
+
+
 def _reach(text: str, at: int, most: int) -> int:
     """Where the words from at on, menus aside, are surely more than most."""
     size = 400
@@ -218,7 +284,7 @@ def notice(text: str) -> bool:
     if _may_frame(text):  # before quotes go: frames hold them
         text, frames = _frame.subn(f" {FRAME} ", text)
         said = 4 * frames
-    plain = _quoted(" ", text)
+    plain = without_menus(_quoted(" ", text))
     beside = at = found = 0
     while (m := _next_notice(plain, at, HEADLINE - beside)) is not None:
         found += 1

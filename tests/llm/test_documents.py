@@ -144,6 +144,88 @@ def test_residue_cases(kind, text):
     assert residue.judge(text) == kind
 
 
+# Wordings written apart from any table.
+RESIDUE = [
+    'Hello {recipient}, welcome to the spring issue.',
+    'Dear <recipient>, your parcel has left the depot.',
+    'Dear [Recipient Name], we write about your order.',
+    'Hi {{ user.firstName }}, thanks for joining us last week.',
+    'Your invoice ${invoice.total} is due on {{due_date | format}}.',
+    'Good morning [FIRST_NAME], your table is ready.',
+    'The meeting of [INSERT DATE HERE] was moved.',
+    '[Company Name Here] is proud to announce a new office.',
+    'Posted on {{post_date}} by the desk.',
+    'Next bus leaves at %(departure_time)s from the square.',
+    'Today in <%= city_name %>: light rain.',
+    'The winner is undefined and the prize will be sent.',
+    '{% if user %} Welcome back {% endif %} to the archive.',
+    'Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod.',
+    'Add your description here. Add your description here.',
+    'Insert text here',
+    'asdf asdf asdf asdf asdf asdf asdf asdf asdf asdf asdf asdf',
+    '500 Internal Server Error',
+    'The server encountered an internal error and was unable to complete your request.',
+    'Home\nNews\nSport\nWeather\n404 - Page not found\nSorry, the page you are looking for does not exist.',
+    'Home | News | Sport | Weather | Business | Culture | Travel | Contact us | About | Privacy policy | Terms | Cookies | Help | Sitemap | Jobs | Subscribe | Login | Register | Blog | Shop | Events | Video | Photos | Opinion | World | Politics | Health\nError 404\nPage not found',
+    'Please enable JavaScript to continue using this application.',
+    'JavaScript is disabled in your browser. Please enable it and reload the page.',
+    'Checking your browser before accessing the site. This process is automatic.',
+    "Access denied. You don't have permission to access this resource.",
+    "Warning: mysqli_connect(): Access denied for user 'root'@'localhost' in /var/www/db.php on line 12",
+    'Fatal error: Uncaught Error: Call to undefined function get_header() in /var/www/html/index.php:3',
+    '503 Service Temporarily Unavailable\nnginx/1.18.0',
+    "TypeError: Cannot read properties of undefined (reading 'title')",
+    'ಪ್ರಿಯ {ಗ್ರಾಹಕ} ಅವರೇ, ನಿಮ್ಮ ಪತ್ರ ತಲುಪಿದೆ.',
+    'Thank you {customer_name} for your letter.',
+    'Signed, [Your Name], secretary of the club.',
+    'Call us at [PHONE NUMBER] any day.',
+    'The total comes to $[AMOUNT] with tax.',
+    'Our address is <Your Address>, second floor.',
+    '@@@COMPANY@@@ has its office on the hill.',
+    'Attention required! One more step: please complete the security check to access.',
+    'This video is no longer available.',
+    'We could not load this page. Try again later.',
+    'An error occurred while processing your request. Reference #18.2f3a.',
+]
+SPOKEN_ABOUT = [
+    'A long article with [[Bengaluru]] links, and [[Mysuru]] beside it, and [[Hampi]] far away.',
+    'In C++ the stream is written with a <<b>> c in code prose.',
+    'In a template, {{name}} is replaced by the value of the variable before the page is sent.',
+    'Use {{name}} to print a variable and {% if %} to start a condition.',
+    'The placeholder ${user} stands for the account that runs the job.',
+    'Editors type [DATE] where the day of issue goes, and the press fills it in.',
+    'The mark "[TBD]" shows that a day has not been set.',
+    'The set {name, age, city} has three fields.',
+    'For all x in {a, b} the sum holds [see note 4].',
+    'A 404 means that a page is not there; our crawler drops such pages and writes the address to a log.',
+    'He wrote "lorem ipsum" on the wall and walked away.',
+    'The tokens <pad>, <s> and </s> are added by the tokenizer.',
+    'If the value is null the row is dropped, and NaN is written as an empty cell.',
+    'The traceback pointed at line 3, so the team mended the reader and ran it again.',
+    '[laughs] No, we never had a printer at the school. [applause]',
+    'The regex \\\\{[a-z]+\\\\} finds single braces.',
+    'An error occurred in the third night of the run, and the ledger showed which step had to be done again before the morning meeting could begin.',
+    'f(x) = {x if x > 0 else 0} is the rectifier.',
+    'The symbols [CLS] and [SEP] mark the ends of the sequence.',
+    'Dear readers, we thank you <3 for all the letters.',
+    'The key <Enter> ends the line and <Tab> moves on.',
+    'The page (to be continued) ends with a poem.',
+    'Mail merge uses «name» as a field for each letter.',
+    'Our house style writes XX/XX for unknown days, which we do not print.',
+]
+
+
+@pytest.mark.parametrize("text", RESIDUE)
+def test_wordings_of_residue(text):
+    assert residue.judge(text)
+    assert residue.judge("A headline\n" + text)
+
+
+@pytest.mark.parametrize("text", SPOKEN_ABOUT)
+def test_wordings_that_speak_about_it(text):
+    assert residue.judge(text) is None
+
+
 def test_content_with_a_notice_in_it_stays():
     content = "The river was high that year and the school closed early. " * 12
     assert residue.judge(content + "Please enable JavaScript in your browser to view this page.") is None
@@ -170,6 +252,18 @@ def test_runs_of_one_or_two_filler_words(words):
     assert residue.judge("He said " + " ".join(few.split()[:11]) + " and left.") is None
 
 
+def test_a_long_menu_is_no_content():
+    menu = "Home | News | Sport | Weather | Business | Culture | Travel | World | Politics | Health\n" * 20
+    assert residue.judge(menu + "404 Not Found\nThe page you asked for could not be found.") == "error"
+    assert residue.judge("apple | pear | plum | fig | grape | quince | peach | cherry | date | lime\n" * 20 + "404 Not Found") is None
+
+
+def test_a_tutorial_with_marks_of_its_own():
+    tutorial = "In a template, {{name}} is replaced by the value. Write {{city}} for the town. "
+    assert residue.judge(tutorial * 30 + "Here {{town}} comes out too.") is None
+    assert residue.judge("The river was high. " * 50 + "Our desk at {{town}} wrote this. " + "The school closed early. " * 50) == "placeholder"
+
+
 def test_blank_lines_are_no_words():
     assert residue.judge("404 Not Found" + "\n   " * 500 + "The page you asked for could not be found.") == "error"
 
