@@ -231,7 +231,7 @@ def _document_windows(batches, sieve, names, lengths: list[int]):
 def matches(items: DataFrame, documents: DataFrame, passage: int = PASSAGE, most_bits: int = MOST_BITS) -> DataFrame:
     """(item_id, doc_id, length, item_words, doc_words, verbatim, consistent): the windows in common, by their templates."""
     spark = items.sparkSession
-    names = spark.sparkContext.broadcast(bitmap(learnt_names(items, documents).select("key"), most_bits=most_bits))
+    names = spark.sparkContext.broadcast(bitmap(written(learnt_names(items, documents).select("key"), "names"), most_bits=most_bits))
     held = items.select(F.col("item_id").cast("bigint"), "text").where("item_id is not null and text is not null").mapInArrow(partial(_item_windows, passage=passage, names=names), _WINDOW)
     held = written(held.dropDuplicates(["length", "key", "id", "words"]), "held")  # windows of one template with other slots are different passages
     lengths = sorted(r.length for r in held.select("length").distinct().collect())  # at most passage numbers
