@@ -50,12 +50,6 @@ def floor_window_breach(spark, d):
     return M.floor_breaches(draws(spark, d).select("branch", "draw", "lane"))
 
 
-@query()
-def schedule_simulation(spark, d):
-    """30 steps of the deficit scheduler in each branch, stages and all."""
-    return M.simulate(draws(spark, d).select("branch", "lane", "seq_id", "effective", "total"), 30)
-
-
 @query("""WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
 k AS (SELECT pos, substr(sha256('1337|opus-sketch|0|hash|' || pos), 1, 16) AS k FROM range(64) t(pos)),
 u AS (SELECT pos, ('0x' || substr(sha256(unhex(k || '0000000000000000')), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u0, ('0x' || substr(sha256(unhex(k || '0000000000000001')), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u1 FROM k)

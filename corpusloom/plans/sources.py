@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 
 from ..operators import roles, shards
 from ..operators import tokenizer as TK
-from ..session import shared_dir, table, written
+from ..session import scratch_path, table, written
 from ..sources import formats as S
 from .corpus import docs
 from .registry import query
@@ -19,7 +17,7 @@ from .registry import query
 def shard_write_read(spark, d):
     """All documents' tokens to binary shards of at most 64,000 tokens and back, each shard held against its hashes."""
     t = table(spark, d, "doc_tokens", "doc_id", "lane", "tokens").dropDuplicates(["doc_id"])
-    out = os.path.join(shared_dir(spark).removeprefix("file://"), f"shards-{abs(hash(d)) % 10**8}-{os.getpid()}")
+    out = scratch_path(spark, "shards").removeprefix("file://")
     shards.write_shards(t, out, "tokenizer", max_tokens=64_000).write.format("noop").mode("overwrite").save()
     back = shards.read_shards(spark, f"file://{out}")
     return back.select("doc_id", "lane", F.size("tokens").alias("n"), F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, written
+from ..session import scratch_path, written
 from ..streaming import draws as D
 from .registry import query
 from .selection import _DRAWS, _W, draws
@@ -21,7 +18,7 @@ _ALL = "coalesce(sum(effective) OVER (PARTITION BY branch ORDER BY draw ROWS BET
 def streamed_deficits(spark, d):
     """The draws as a stream, followed branch by branch with state."""
     source = written(draws(spark, d), "draws")
-    base = os.path.join(shared_dir(spark), "corpusloom", f"stream-{uuid.uuid4().hex}")
+    base = scratch_path(spark, "stream")
     stream = spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
     out = D.drain(spark, D.follow(stream), f"{base}/out", f"{base}/state")
     return out.select("branch", "draw", "lane", F.round("deficit", 5).alias("deficit"))

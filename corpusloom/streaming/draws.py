@@ -13,21 +13,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.mixture import Scheduler
+from .. import config
+from ..operators import mixture as M
 
 OUT = "branch string, draw int, seq_id string, lane string, deficit double, below_floor boolean"
 
 
 def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    s = Scheduler.restore(state.get[0]) if state.exists else Scheduler()
-    s.stage = len(s.stages) - 1
+    now = M.State.loads(state.get[0]) if state.exists else M.start(len(config.STAGES) - 1)
     rows = []
     for pdf in sorted(batches, key=lambda p: p["draw"].min() if len(p) else 0):
         for r in pdf.sort_values("draw").itertuples(index=False):
-            gap = s.deficit(r.lane)
-            s.record(r.lane, int(r.effective), int(r.total))
-            rows.append((key[0], int(r.draw), r.seq_id, r.lane, gap, s.below_floor()))
-    state.update((s.snapshot(),))
+            gap = M.lacks(now).get(r.lane, 0.0)
+            now, _ = M.after(now, "drawn", r.lane, int(r.effective), int(r.total))
+            rows.append((key[0], int(r.draw), r.seq_id, r.lane, gap, M.below_floor(now)))
+    state.update((now.dumps(),))
     yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
 
