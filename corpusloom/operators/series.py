@@ -1,6 +1,6 @@
 """Metric series (run, step, value): folds and windows over the steps of each run.
 
-Folds stream through a run in order and hold one state, so a run of any length needs no more memory.
+Folds and ranks go over ranges of a run and then over what the ranges come to, so no run is held by one task.
 Null values are passed over by folds and give null in windows.
 """
 
@@ -9,29 +9,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def by_step(column: str = "step"):
     return Window.partitionBy("run").orderBy(column)
 
 
 def ema(series: DataFrame, k: float) -> DataFrame:
-    """series with ema: e = k e + (1 - k) v, from the first value."""
-    ordered = series.select("run", "step", "value").repartition("run").sortWithinPartitions("run", "step")
+    """series with ema: e = k e + (1 - k) v, from the first value; a null value changes nothing.
+
+    The step is linear, so a part of a run folds to (decay, sum) whatever came before: runs are cut into
+    ranges, each is folded by itself, and what the ranges before come to is added. No run is held by one task.
+    """
+    ranged = written(series.select("run", "step", "value").repartitionByRange("run", "step").withColumn("part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("run", "part").orderBy("step")
+    seen = F.sum(F.col("value").isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ordered = ranged.withColumn("seen", seen).repartition("run", "part").sortWithinPartitions("run", "part", "step")
 
     def fold(batches):
-        run, e = object(), None
+        key, e = None, 0.0
         for b in batches:
             out = []
-            for r, v in zip(b["run"], b["value"]):
-                if r != run:
-                    run, e = r, None
+            for r, p, v in zip(b["run"], b["part"], b["value"]):
+                if (r, p) != key:
+                    key, e = (r, p), 0.0
                 if v == v and v is not None:
-                    e = v if e is None else k * e + (1 - k) * v
+                    e = k * e + (1 - k) * v
                 out.append(e)
-            yield b.assign(ema=out)
-
-    kind = dict(ordered.dtypes)
-    return ordered.mapInPandas(fold, f"run {kind['run']}, step {kind['step']}, value double, ema double")
+            yield b.assign(own=out)
+
+    kind = dict(ranged.dtypes)
+    own = ordered.mapInPandas(fold, f"run {kind['run']}, step {kind['step']}, value double, part int, seen bigint, own double")
+    # what a range adds, and the first value of a run, which weighs 1 and not 1 - k
+    ends = ranged.groupBy("run", "part").agg(F.count("value").alias("n"), F.min_by("value", F.when(F.col("value").isNotNull(), F.col("step"))).alias("first"))
+    last = own.groupBy("run", "part").agg(F.max_by("own", "step").alias("sum"))
+    parts = ends.join(last, ["run", "part"])
+    up = Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # the ranges of a run are as many as the partitions it covers; the fold over them is a few numbers a range
+    parts = parts.withColumn("before", F.coalesce(F.collect_list(F.struct("n", "sum", "first")).over(up), F.array()))
+    carried = F.aggregate("before", F.struct(F.lit(0.0).alias("e"), F.lit(False).alias("any")), lambda a, p: F.struct((a["e"] * F.pow(F.lit(float(k)), p["n"].cast("double")) + p["sum"] + F.when(~a["any"] & (p["n"] > 0), p["first"] * F.pow(F.lit(float(k)), p["n"].cast("double"))).otherwise(0.0)).alias("e"), (a["any"] | (p["n"] > 0)).alias("any")))
+    parts = parts.withColumn("c", carried).select("run", "part", "first", F.col("c.e").alias("e"), F.col("c.any").alias("any"))
+    both = own.alias("o").join(parts.alias("p"), F.col("o.run").eqNullSafe(F.col("p.run")) & (F.col("o.part") == F.col("p.part")))
+    decay = F.pow(F.lit(float(k)), F.col("seen").cast("double"))
+    value = F.when(F.col("any"), F.col("own") + decay * F.col("e")).when(F.col("seen") > 0, F.col("own") + decay * F.col("first"))
+    return both.select("o.run", "step", "value", value.alias("ema"))
+
+
+def exact_quantiles(series: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """(run, q): the quantiles of each run's values, exact and linearly interpolated, in the order of shares; nulls are left out.
+
+    Values are range-partitioned and counted by range; a value's rank is its range's plus its place in it, so a
+    run is spread over ranges, and of the ranked values only the two beside each quantile are kept.
+    """
+    ranged = written(series.select("run", "value").where("value is not null").repartitionByRange("run", "value").withColumn("part", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("run", "part").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("run")
+    totals = totals.withColumn("before", F.sum("n").over(w.orderBy("part")) - F.col("n")).withColumn("all", F.sum("n").over(w))
+    place = F.row_number().over(Window.partitionBy("run", "part").orderBy("value")) - 1
+    at = ranged.withColumn("i", place).alias("a").join(totals.alias("t"), F.col("a.run").eqNullSafe(F.col("t.run")) & (F.col("a.part") == F.col("t.part"))).select("a.run", "value", (F.col("i") + F.col("before")).alias("rank"), "all")
+    low = [F.floor(F.lit(s) * (F.col("all") - 1)) for s in shares]
+    near = F.lit(False)
+    for x in low:
+        near = near | (F.col("rank") == x) | (F.col("rank") == x + 1)
+    kept = at.where(near)
+    out = kept.groupBy("run").agg(*[F.max(F.when(F.col("rank") == x, F.col("value"))).alias(f"l{k}") for k, x in enumerate(low)], *[F.max(F.when(F.col("rank") == x + 1, F.col("value"))).alias(f"h{k}") for k, x in enumerate(low)], F.max("all").alias("all"))
+    part = [F.lit(s) * (F.col("all") - 1) - F.floor(F.lit(s) * (F.col("all") - 1)) for s in shares]
+    return out.select("run", F.array(*[F.col(f"l{k}") + F.coalesce(F.col(f"h{k}") - F.col(f"l{k}"), F.lit(0.0)) * part[k] for k in range(len(shares))]).alias("q"))
 
 
 def running_best(series: DataFrame, margin: float) -> DataFrame:

@@ -37,12 +37,25 @@ def content_hash_exact_dedup(spark, d):
     return dedup.exact(docs(spark, d)).where("doc_id <> canonical_doc_id").select("doc_id", "canonical_doc_id")
 
 
-@query()
+#: The greedy choice by a recursive query over lists of ids: kept are those whose smaller neighbours are all set aside, set aside those with a kept smaller one.
+_GREEDY = f"""WITH RECURSIVE all_docs AS (SELECT doc_id, any_value(text) AS text FROM corpus WHERE text IS NOT NULL GROUP BY doc_id),
+docs AS (SELECT min(doc_id) AS doc_id, text FROM all_docs GROUP BY text), {SHINGLED}, {PAIRS}, near AS (SELECT * FROM alike), nodes AS (SELECT a AS n FROM near UNION SELECT b FROM near),
+g AS (SELECT []::VARCHAR[] AS kept, []::VARCHAR[] AS aside UNION ALL
+SELECT kept2, list_concat(aside, coalesce((SELECT list(DISTINCT b) FROM near WHERE list_contains(kept2, a) AND NOT list_contains(aside, b)), [])) FROM (
+  SELECT aside, list_concat(kept, coalesce((SELECT list(n) FROM nodes WHERE NOT list_contains(kept, n) AND NOT list_contains(aside, n) AND NOT EXISTS (SELECT 1 FROM near WHERE b = n AND NOT list_contains(aside, a))), [])) AS kept2
+  FROM g WHERE len(kept) + len(aside) < (SELECT count(*) FROM nodes))),
+ended AS (SELECT kept, aside FROM g WHERE len(kept) + len(aside) = (SELECT count(*) FROM nodes)),
+empty AS (SELECT doc_id, min(doc_id) OVER () AS first FROM shingled WHERE len(sh) = 0),
+quarantined AS (SELECT b AS doc_id, min(a) AS matched, arg_min(jaccard, a) AS jaccard FROM near, ended WHERE list_contains(aside, b) AND list_contains(kept, a) GROUP BY b UNION ALL SELECT doc_id, first, 1.0::DOUBLE FROM empty WHERE doc_id <> first)"""
+
+
+@query(f"""{_GREEDY} SELECT * FROM (SELECT 'survivor' AS status, (SELECT count(*) FROM docs) - (SELECT count(*) FROM quarantined) AS docs UNION ALL SELECT 'quarantined', (SELECT count(*) FROM quarantined)
+UNION ALL SELECT 'exact_duplicate', (SELECT count(*) FROM all_docs) - (SELECT count(*) FROM docs)) WHERE docs > 0""")
 def dedup_report(spark, d):
     return dedup.run(docs(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query()
+@query(f"{_GREEDY} SELECT doc_id, matched, round(jaccard, 9) AS jaccard FROM quarantined")
 def near_dup_quarantine(spark, d):
     return dedup.run(docs(spark, d)).where("status = 'quarantined'").select("doc_id", "matched", F.round("jaccard", 9).alias("jaccard"))
 
@@ -117,12 +130,18 @@ def shard_offsets(spark, d):
     return shards.offsets(t)
 
 
-@query()
+_MANIFESTS = """m AS (SELECT DISTINCT ON (shard_id) * FROM manifest),
+spans AS (SELECT shard_id, string_agg('"' || e.key || '":[' || e.value[1] || ',' || e.value[2] || ']', ',' ORDER BY e.key) AS offsets FROM (SELECT shard_id, unnest(map_entries(offsets)) AS e FROM m) GROUP BY shard_id),
+hashed AS (SELECT m.*, sha256('{"content_hash":"' || content_hash || '","created_at":"' || created_at || '","doc_count":' || doc_count || ',"lane":"' || lane || '","offsets":{' || coalesce(s.offsets, '') || '},"parent_manifest_hash":"' || parent_manifest_hash || '","role":"' || role || '","shard_id":"' || shard_id || '","token_count":' || token_count || ',"tokenizer_hash":"' || tokenizer_hash || '"}') AS own FROM m LEFT JOIN spans s USING (shard_id))"""
+
+
+@query(f"WITH {_MANIFESTS} SELECT shard_id, own = manifest_hash AS self_ok, parent_manifest_hash = 'GENESIS' OR parent_manifest_hash IN (SELECT manifest_hash FROM m) AS parent_known FROM hashed")
 def manifest_self_hash(spark, d):
     return shards.manifest_checks(table(spark, d, "manifest"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT shard_id, any_value(manifest_hash) AS h, row_number() OVER (ORDER BY shard_id) AS i FROM manifest GROUP BY shard_id),
+r AS (SELECT 0::BIGINT AS i, 'GENESIS' AS prev UNION ALL SELECT o.i, sha256(prev || '|{"manifest_hash":"' || h || '","shard_id":"' || shard_id || '"}') FROM r JOIN o ON o.i = r.i + 1) SELECT arg_max(prev, i) AS root_hash FROM r""")
 def manifest_chain_root(spark, d):
     return shards.chain_root(table(spark, d, "manifest"))
 

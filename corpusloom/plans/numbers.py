@@ -6,34 +6,58 @@ from pyspark.sql import functions as F
 
 from ..functions import annotations as N
 from ..functions import numbers as B
+from ..operators import series as S
 from ..session import table
 from .registry import query
 
 
-@query()
+def _posit(x: str, rest: str) -> str:
+    """CTEs up to coded (rest, x, bits, back): the posit<16,1> of numbers x >= 1 by arithmetic, a carry of the fraction raising the scale."""
+    cut = lambda p: f"13 - ({p} // 2 + 1)"
+    return f"""v AS (SELECT {rest}, {x}::DOUBLE AS x, floor(log2({x}))::BIGINT AS p0 FROM {{table}} WHERE {x} >= 1),
+f AS (SELECT *, floor((x / pow(2, p0) - 1) * pow(2, {cut('p0')}) + 0.5)::BIGINT AS f0 FROM v),
+w AS (SELECT *, p0 + (f0 >= pow(2, {cut('p0')}))::BIGINT AS p, CASE WHEN f0 >= pow(2, {cut('p0')}) THEN 0 ELSE f0 END AS fr FROM f),
+coded AS (SELECT {rest}, x, ((((1::BIGINT << (p // 2 + 2)) - 2) << (13 - p // 2)) + ((p % 2) << (12 - p // 2)) + fr)::INTEGER AS bits, (1 + fr / pow(2, {cut('p')})) * pow(2, p) AS back FROM w)"""
+
+
+@query("WITH " + _posit("p_retailprice", "p_partkey").format(table="part") + " SELECT p_partkey, bits, back FROM coded")
 def posit16_roundtrip(spark, d):
-    x = table(spark, d, "part", "p_partkey", "p_retailprice")
+    x = table(spark, d, "part", "p_partkey", "p_retailprice").where("p_retailprice >= 1")
     return x.select("p_partkey", B.posit16("p_retailprice").alias("bits"), B.unposit16(B.posit16("p_retailprice")).alias("back"))
 
 
-@query()
+_STATS = (("mean", "avg({})"), ("median", "quantile_cont({}, 0.5)"), ("p99", "quantile_cont({}, 0.99)"), ("most", "max({})"))
+
+
+@query(
+    "WITH " + _posit("l_extendedprice", "l_orderkey").format(table="lineitem") + """, b AS (SELECT *, x::FLOAT::DOUBLE AS y FROM coded), e AS (SELECT abs(back / x - 1) AS posit, abs(round_even(y / pow(2, floor(log2(y))) * 128, 0) / 128 * pow(2, floor(log2(y))) / x - 1) AS bf16 FROM b),
+s AS (SELECT """ + ", ".join(f"round({f.format(c)}, 9) AS {c}_{n}" for n, f in _STATS for c in ("posit", "bf16")) + """, count(*) FILTER (WHERE posit < bf16) AS posit_wins, count(*) FILTER (WHERE bf16 < posit) AS bf16_wins FROM e)
+SELECT *, """ + ", ".join(f"CASE WHEN posit_{n} < bf16_{n} THEN 'posit' WHEN bf16_{n} < posit_{n} THEN 'bf16' ELSE 'tie' END AS {n}_winner" for n, _ in _STATS) + " FROM s"
+)
 def format_errors(spark, d):
-    """Relative errors of two number formats, and which is better how often."""
-    x = table(spark, d, "lineitem", "l_extendedprice").where("l_extendedprice > 0")
+    """Relative errors of two number formats: mean, median, 99th percentile and greatest, which is better by each, and which how often. The order statistics are exact."""
+    x = table(spark, d, "lineitem", "l_extendedprice").where("l_extendedprice >= 1")
     p, b = B.unposit16(B.posit16("l_extendedprice")), B.bfloat16("l_extendedprice")
     e = x.select(F.abs(p / F.col("l_extendedprice") - 1).alias("posit"), F.abs(b / F.col("l_extendedprice") - 1).alias("bf16"))
-    return e.agg(*[f(c).alias(f"{n}_{c}") for c in ("posit", "bf16") for n, f in (("mean", F.avg), ("median", F.median), ("max", F.max))], F.count_if(F.col("posit") < F.col("bf16")).alias("posit_wins"))
+    each = e.select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("x")) for c in ("posit", "bf16")])).alias("e"), F.col("posit") < F.col("bf16"), F.col("bf16") < F.col("posit")).toDF("e", "pw", "bw").select("e.*", "pw", "bw")
+    q = S.exact_quantiles(each.select(F.col("f").alias("run"), F.col("x").alias("value")), (0.5, 0.99))
+    g = each.groupBy("f").agg(F.avg("x").alias("mean"), F.max("x").alias("most"), F.count_if("pw").alias("pw"), F.count_if("bw").alias("bw")).join(q, F.col("f") == F.col("run"))
+    g = g.select("f", "pw", "bw", F.round("mean", 9).alias("mean"), F.round(F.col("q")[0], 9).alias("median"), F.round(F.col("q")[1], 9).alias("p99"), F.round("most", 9).alias("most"))
+    pick = lambda c, f: F.max(F.when(F.col("f") == f, F.col(c))).alias(f"{f}_{c}")
+    out = g.agg(*[pick(c, f) for c, _ in _STATS for f in ("posit", "bf16")], F.max("pw").alias("posit_wins"), F.max("bw").alias("bf16_wins"))
+    return out.select("*", *[F.when(F.col(f"posit_{c}") < F.col(f"bf16_{c}"), "posit").when(F.col(f"bf16_{c}") < F.col(f"posit_{c}"), "bf16").otherwise("tie").alias(f"{c}_winner") for c, _ in _STATS])
 
 
-@query()
+@query("SELECT c_custkey, c_name AS name FROM customer WHERE c_name <> ''")
 def byte_embedding_roundtrip(spark, d):
-    """Names to vectors and back: how many come back as they were."""
+    """Names to vectors and back, whole; a name longer than the codec's length is several tokens."""
     length = B.byte_embedding().length
-    x = table(spark, d, "customer", "c_name").select(F.monotonically_increasing_id().alias("row"), F.encode("c_name", "utf-8").alias("b")).where("length(b) > 0")
+    x = table(spark, d, "customer", "c_custkey", "c_name").select("c_custkey", F.encode("c_name", "utf-8").alias("b")).where("length(b) > 0")
     at = F.sequence(F.lit(0), F.floor((F.length("b") - 1) / length).cast("int"))
-    tokens = x.select("row", F.explode(F.transform(at, lambda k: F.substring("b", k * length + 1, F.lit(length)))).alias("b"))  # longer names are several tokens
-    same = tokens.select("row", (B.unembed_bytes(B.embed_bytes("b")) == F.col("b")).alias("same")).groupBy("row").agg(F.bool_and("same").alias("same"))
-    return same.groupBy("same").agg(F.count(F.lit(1)).alias("n"))
+    tokens = x.select("c_custkey", F.posexplode(F.transform(at, lambda k: F.substring("b", k * length + 1, F.lit(length)))).alias("k", "b"))
+    back = tokens.select("c_custkey", "k", F.hex(B.unembed_bytes(B.embed_bytes("b"))).alias("h"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda p: p["h"])
+    return back.groupBy("c_custkey").agg(F.decode(F.unhex(F.array_join(parts, "")), "utf-8").alias("name"))
 
 
 @query("SELECT o_orderkey, CASE WHEN length(s) > 12 THEN left(s, 11) || '…' ELSE s END AS short, replace(replace('<' || s || '>&', '&', '&amp;'), '<', '&lt;') AS esc FROM (SELECT o_orderkey, o_orderpriority || ' ' || o_orderstatus AS s FROM orders)")
@@ -57,13 +81,14 @@ def relative_times(spark, d):
 
 
 def comments(spark, d):
-    """A comment on each document with 200 characters or more: its characters 60 to 90, with their surroundings."""
-    t = table(spark, d, "documents", "doc_id", "text").where("length(text) >= 200").dropDuplicates(["doc_id"])
-    c = t.withColumn("c", N.captured(F.col("text"), F.lit(60), F.lit(90)))
-    return t, c.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("path"), F.lit(60).alias("from"), F.lit(90).alias("to"), "c.*", F.lit(False).alias("orphaned"))
+    """A comment on each document that has text: up to 30 characters from its fourth on (from its start, where it is shorter), with their surroundings."""
+    t = table(spark, d, "documents", "doc_id", "text").where("length(text) > 0").dropDuplicates(["doc_id"])
+    a, n = F.floor(F.length("text") / 4).cast("int"), F.length("text")
+    c = t.withColumn("a", a).withColumn("e", F.least(F.col("a") + 30, n)).withColumn("c", N.captured(F.col("text"), F.col("a"), F.col("e")))
+    return t, c.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("path"), F.col("a").alias("from"), F.col("e").alias("to"), "c.*", F.lit(False).alias("orphaned"))
 
 
-@query("""SELECT doc_id AS id, 65 AS "from", 95 AS "to", false AS orphaned FROM (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200)""")
+@query("""SELECT doc_id AS id, (length(text) // 4 + 5)::INTEGER AS "from", (least(length(text) // 4 + 30, length(text)) + 5)::INTEGER AS "to", false AS orphaned FROM (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) > 0)""")
 def reanchored(spark, d):
     """Comments after five characters went in at the front of their texts."""
     t, c = comments(spark, d)

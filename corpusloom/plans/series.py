@@ -118,10 +118,12 @@ def power_law_fit(spark, d):
     return table(spark, d, "lineitem", "l_returnflag", "l_quantity", "l_extendedprice").groupBy(F.col("l_returnflag").alias("series")).agg(F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.exp(F.regr_intercept(y, x)), 4).alias("scale"), F.round(F.regr_r2(y, x), 6).alias("r2"))
 
 
-@query("""SELECT l_returnflag AS grp, min(a) AS least, quantile_cont(a, 0.01) AS p1, quantile_cont(a, 0.5) AS p50, quantile_cont(a, 0.99) AS p99, max(a) AS most FROM (SELECT l_returnflag, abs(l_extendedprice) AS a FROM lineitem) WHERE a > 0 GROUP BY 1""")
+@query("""SELECT l_returnflag AS grp, min(a) AS least, round(quantile_cont(a, 0.01), 6) AS p1, round(quantile_cont(a, 0.5), 6) AS p50, round(quantile_cont(a, 0.99), 6) AS p99, max(a) AS most FROM (SELECT l_returnflag, abs(l_extendedprice) AS a FROM lineitem) WHERE a > 0 GROUP BY 1""")
 def quantile_profile(spark, d):
     a = table(spark, d, "lineitem", "l_returnflag", "l_extendedprice").select(F.col("l_returnflag").alias("grp"), F.abs("l_extendedprice").alias("a")).where("a > 0")
-    return a.groupBy("grp").agg(F.min("a").alias("least"), F.percentile("a", 0.01).alias("p1"), F.percentile("a", 0.5).alias("p50"), F.percentile("a", 0.99).alias("p99"), F.max("a").alias("most"))
+    q = S.exact_quantiles(a.select(F.col("grp").alias("run"), F.col("a").alias("value")), (0.01, 0.5, 0.99)).select(F.col("run").alias("grp"), "q")
+    ends = a.groupBy("grp").agg(F.min("a").alias("least"), F.max("a").alias("most"))
+    return ends.join(q, "grp").select("grp", "least", *[F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("p1", "p50", "p99"))], "most")
 
 
 @query("""SELECT event_type AS op, count(*) AS trials, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS least, max(value) AS most FROM events GROUP BY 1""")

@@ -11,6 +11,7 @@ from ..session import scratch_path, table, written
 from ..sources import formats as S
 from .corpus import docs
 from .registry import query
+from .text_sql import CORPUS, ROLE
 
 
 @query("""SELECT doc_id, lane, len(t)::INTEGER AS n, list_sum(t)::BIGINT AS total FROM (SELECT doc_id, any_value(lane) AS lane, any_value(tokens) AS t FROM doc_tokens GROUP BY doc_id)""")
@@ -54,21 +55,39 @@ def _tokenizer(spark, d):
     return TK.train(train.select("text"))
 
 
-@query()
+#: The merges by a recursive query: a token is the character of its id + 256, a merge replaces the oftenest two characters, from the left.
+_CHARS = "array_to_string(list_transform(range(octet_length(b)), lambda i: chr(260 + ('0x' || substr(hex(b), 2 * i + 1, 2))::INTEGER)), '')"
+_BPE = f"""{CORPUS}, train AS (SELECT text, count(*) AS copies FROM c WHERE text IS NOT NULL AND {ROLE} = 'TRAIN' GROUP BY text),
+spelt AS (SELECT copies, {_CHARS} AS s FROM (SELECT copies, encode(nfc_normalize(text)) AS b FROM train)),
+m AS (SELECT 0 AS rank, NULL::VARCHAR AS pair, list(struct_pack(s := s, n := copies)) AS texts FROM spelt
+UNION ALL
+SELECT rank + 1, best.pair, list_transform(texts, lambda x: struct_pack(s := replace(x.s, best.pair, chr(516 + rank)), n := x.n)) FROM m,
+LATERAL (SELECT arg_min(pair, (-k, pair)) AS pair FROM (SELECT pair, sum(n) AS k FROM (SELECT unnest(list_transform(list_zip(ch[:-2], ch[2:]), lambda z: z[1] || z[2])) AS pair, n FROM (SELECT string_split(x.s, '') AS ch, x.n AS n FROM (SELECT unnest(m.texts) AS x))) GROUP BY pair) WHERE k >= 2) best
+WHERE rank < 252 AND best.pair IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {_BPE} SELECT (rank - 1)::INTEGER AS rank, (ord(pair[1]) - 256)::INTEGER AS a, (ord(pair[2]) - 256)::INTEGER AS b, (259 + rank)::INTEGER AS new_id FROM m WHERE pair IS NOT NULL")
 def bpe_merges(spark, d):
     """The merges of the byte-pair tokenizer of the TRAIN documents, over all their bytes."""
     t = _tokenizer(spark, d)
     return spark.createDataFrame([(k, a, b, TK.FIRST_MERGE + k) for k, (a, b) in enumerate(t.merges)], "rank int, a int, b int, new_id int")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BPE}, learnt AS (SELECT rank, pair FROM m WHERE pair IS NOT NULL),
+e AS (SELECT doc_id, 0 AS r, {_CHARS} AS s FROM (SELECT doc_id, encode(nfc_normalize(text)) AS b FROM c WHERE text IS NOT NULL) UNION ALL SELECT doc_id, r + 1, replace(s, pair, chr(516 + r)) FROM e JOIN learnt ON rank = r + 1)
+SELECT e.doc_id, (length(s) + 2)::INTEGER AS tokens, sha256(nfc_normalize(text)) AS back FROM e JOIN c USING (doc_id) WHERE r = (SELECT count(*) FROM learnt)""")
 def bpe_roundtrip(spark, d):
-    """All texts encoded and decoded: how many come back as their NFC form, and into how many tokens."""
-    from ..functions.normal import nfc
+    """Every text encoded and decoded: its tokens, and the hash of what comes back."""
+    t = _tokenizer(spark, d)
+    e = docs(spark, d).where("text is not null").select("doc_id", t.encode_column("text").alias("ids"))
+    return e.select("doc_id", F.size("ids").alias("tokens"), F.sha2(t.decode_column("ids"), 256).alias("back"))
+
 
+@query(f"""WITH RECURSIVE {_BPE} SELECT sha256('{{"merges":[' || string_agg('[' || (ord(pair[1]) - 256) || ',' || (ord(pair[2]) - 256) || ']', ',' ORDER BY rank) || '],"nfc":true,"pretokenize":"byte","specials":["<PAD>","<BOS>","<EOS>","<UNK>"],"tiebreak":"lexicographic_pair","train_manifest_hash":"","vocab_size":' || (260 + count(*)) || '}}') AS freeze_hash, true AS same_again FROM m WHERE pair IS NOT NULL""")
+def tokenizer_freeze(spark, d):
+    """The hash that freezes the tokenizer, and whether one made of its merges has it too."""
     t = _tokenizer(spark, d)
-    e = written(docs(spark, d).where("text is not null").select("text").withColumn("ids", t.encode_column("text")), "encoded")
-    return e.groupBy((t.decode_column("ids") == nfc("text")).alias("same")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("ids")).alias("tokens"))
+    return spark.createDataFrame([(t.freeze_hash(), TK.Tokenizer(tuple(map(tuple, t.merges))).freeze_hash() == t.freeze_hash())], "freeze_hash string, same_again boolean")
 
 
 @query("""WITH t AS (SELECT DISTINCT text FROM eval_items), b AS (SELECT encode(text) AS b FROM eval_items WHERE text IS NOT NULL)
