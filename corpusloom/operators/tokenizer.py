@@ -56,7 +56,7 @@ class Tokenizer:
 
     @cached_property
     def groups(self) -> list[list[tuple[int, int, int]]]:
-        return _groups(self.merges)
+        return _groups([(a, b, FIRST_MERGE + k) for k, (a, b) in enumerate(self.merges)])
 
     @cached_property
     def spelled(self) -> list[bytes]:
@@ -95,10 +95,9 @@ class Tokenizer:
 
 
 def _groups(merges) -> list[list[tuple[int, int, int]]]:
-    """(a, b, new) of the merges in order, cut where one could overlap, or use, another of its group: each group can be applied at once."""
+    """Merges (a, b, new) in order, cut where one could overlap, or use, another of its group: each group can be applied at once."""
     out: list[list[tuple[int, int, int]]] = []
-    for k, (a, b) in enumerate(merges):
-        new = FIRST_MERGE + k
+    for a, b, new in merges:
         if not out or a == b or any(a in (y, z) or b in (x, z) or x == y for x, y, z in out[-1]):
             out.append([])
         out[-1].append((a, b, new))
@@ -113,7 +112,11 @@ def _applied(ids: np.ndarray, group: list[tuple[int, int, int]]) -> tuple[np.nda
         order = np.arange(len(hit))
         first = np.maximum.accumulate(np.where(np.r_[True, np.diff(hit) != 1], order, 0)) if len(hit) else order
         hit = hit[(order - first) % 2 == 0]
-        to = np.uint16(new)
+        to = np.full(len(hit), new, np.uint16)
+    elif len(group) == 1:
+        a, b, new = group[0]
+        hit = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
+        to = np.full(len(hit), new, np.uint16)
     else:
         width = max(max(x) for x in group) + 1
         becomes = np.zeros((width, width), np.uint16)
@@ -158,28 +161,50 @@ def _replay(groups):
     return go
 
 
-def _counts(groups, width: int):
+def _counted(ids: np.ndarray, ends: np.ndarray, copies: np.ndarray, width: int) -> np.ndarray:
+    """How often each pair (a, b) stands in the sequences, at a * width + b."""
+    pair = ids[:-1].astype(np.int64) * width + ids[1:]
+    total = np.bincount(pair, minlength=width * width)
+    for k in np.flatnonzero(copies != 1):
+        np.add.at(total, pair[ends[k] : ends[k + 1] - 1], copies[k] - 1)
+    return total
+
+
+def _changed(ids: np.ndarray, weight: np.ndarray | None, merge: tuple[int, int, int], total: np.ndarray, width: int):
+    """(ids, weight) after a merge; total gets what it changes, counted around the places where it applies."""
+    new, keep = _applied(ids, [merge])
+    if keep is None:
+        return ids, weight
+    hit = np.flatnonzero(~keep) - 1
+    for of, at, by, sign in ((ids, np.concatenate([hit - 1, hit, hit + 1]), weight, -1), (new, np.add.outer((-1, 0), np.cumsum(keep)[hit] - 1).ravel(), None if weight is None else weight[keep], 1)):
+        at = np.unique(at[(at >= 0) & (at < len(of) - 1)])
+        pair = of[at].astype(np.int64) * width + of[at + 1]
+        np.add.at(total, pair, sign if by is None else sign * by[at])
+    return new, None if weight is None else weight[keep]
+
+
+def _counts(groups, guessed: list[tuple[int, int, int]], width: int):
     def go(batches):
-        total = np.zeros(width * width, np.int64)
+        total = np.zeros((len(guessed) + 1, width * width), np.int64)
         for whole in batches:
             for b in slices(whole):
                 ids, ends = _replayed(*_bytes(b.column(0)), groups)
-                pair = ids[:-1].astype(np.int64) * width + ids[1:]
                 copies = b.column(1).to_numpy()
-                total += np.bincount(pair, minlength=width * width)
-                for k in np.flatnonzero(copies != 1):
-                    own = pair[ends[k] : ends[k + 1] - 1]
-                    np.add.at(total, own, copies[k] - 1)
-        at = np.flatnonzero(total)
-        at = at[(at // width != config.PAD) & (at % width != config.PAD)]
-        yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32)), pa.array(total[at])], names=["a", "b", "n"])
+                total[0] += _counted(ids, ends, copies, width)
+                weight = np.repeat(copies, np.diff(ends)) if (copies != 1).any() else None
+                for k, merge in enumerate(guessed, 1):
+                    ids, weight = _changed(ids, weight, merge, total[k], width)
+        after, at = np.nonzero(total)
+        kept = (at // width != config.PAD) & (at % width != config.PAD)
+        after, at = after[kept], at[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(after.astype(np.int32)), pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32)), pa.array(total[after, at])], names=["after", "a", "b", "n"])
 
     return go
 
 
-def pair_counts(state: DataFrame, groups, width: int) -> DataFrame:
-    """(a, b, n): how often each adjacent pair stands in the sequences after the groups of merges (ids binary, copies bigint)."""
-    return state.mapInArrow(_counts(groups, width), "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+def pair_counts(state: DataFrame, groups, guessed, width: int) -> DataFrame:
+    """(after, a, b, n): how often each adjacent pair stands in the sequences (ids binary, copies bigint) after the groups of merges, and by how much each guessed merge, one after the other, changes that."""
+    return state.mapInArrow(_counts(groups, guessed, width), "after int, a int, b int, n bigint").groupBy("after", "a", "b").agg(F.sum("n").alias("n"))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -188,45 +213,53 @@ def byte_ids(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else np.append(laid_out([t])[0], config.PAD).astype(np.uint16).tobytes())
 
 
-def _next(counts: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """The next merges that the counts alone settle, at least one if there is any.
+def _best(counts: np.ndarray) -> tuple[int, int] | None:
+    """The pair that comes oftenest, twice at least; of equals the first."""
+    a, b = divmod(int(counts.argmax()), counts.shape[1])
+    return (a, b) if counts[a, b] >= 2 else None
 
-    A merge (a, b) changes only pairs that start with b or end with a, and those become fewer; a pair with its new id
-    comes at most as often as such a pair did. So a pair of neither kind is next if it comes oftener than all of them.
-    """
-    n, found, bound = counts.copy(), [], 0
-    width = len(n)
-    while len(found) < most:
-        best = int(n.argmax())  # the first of equals: lexicographic
-        a, b = divmod(best, width)
-        if n[a, b] < 2 or found and n[a, b] <= bound:
-            break
-        found.append((a, b))
-        if a == b:
+
+def _guess(counts: np.ndarray, first: int, most: int) -> list[tuple[int, int, int]]:
+    """The next merges, were neighbours independent: (a, b, new id). Only guesses: the counts that come back decide."""
+    n, out = counts.astype(np.float64), []
+    for new in range(first, first + most):
+        best = _best(n)
+        if best is None:
             break
+        a, b = best
+        k = n[a, b]
+        behind, before = n[b].copy(), n[:, a].copy()
+        behind *= k / max(behind.sum(), k)
+        before *= k / max(before.sum(), k)
+        n[b], n[:, a] = n[b] - behind, n[:, a] - before
+        n[new], n[:, new] = behind, n[:, new] + before
         n[a, b] = 0
-        bound = max(bound, int(n[b].max()), int(n[:, a].max()))
-        n[b], n[:, a] = 0, 0
-    return found
+        out.append((a, b, new))
+    return out
 
 
-def train(texts: DataFrame, vocab_size: int = config.VOCAB_SIZE, train_manifest_hash: str = "", every: int = 16) -> Tokenizer:
-    """The tokenizer of the texts (text). One aggregation for as many merges as its counts settle; the sequences are written anew every so many merges, and the merges since are replayed on reading."""
+def train(texts: DataFrame, vocab_size: int = config.VOCAB_SIZE, train_manifest_hash: str = "", ahead: int = 16) -> Tokenizer:
+    """The tokenizer of the texts (text). Each pass counts pairs and, for the next merges as guessed, what each would change; the counts confirm the guesses up to the first wrong one, and give the merge in its place. The sequences are written anew now and then, and the merges since are replayed on reading."""
     state = written(texts.where("text is not null").groupBy("text").agg(F.count(F.lit(1)).alias("copies")).select(byte_ids("text").alias("ids"), "copies"), "bpe")
     merges: list[tuple[int, int]] = []
-    groups: list[list[tuple[int, int, int]]] = []
-    done = 0
+    pending: list[tuple[int, int, int]] = []
+    guessed: list[tuple[int, int, int]] = []
     while FIRST_MERGE + len(merges) < vocab_size:
-        width = FIRST_MERGE + len(merges)
-        top = pair_counts(state, groups, width).toPandas()
-        counts = np.zeros((width, width), np.int64)
-        counts[top["a"], top["b"]] = top["n"]
-        found = _next(counts, vocab_size - width)
-        if not found:
-            break
-        groups.append([(a, b, width + k) for k, (a, b) in enumerate(found)])
-        merges += found
-        if len(merges) - done >= every:
-            state, done = written(state.mapInArrow(_replay(groups), "ids binary, copies bigint"), "bpe"), len(merges)
-            groups = []
+        found = pair_counts(state, _groups(pending), guessed, vocab_size).toPandas()
+        counts = np.zeros((vocab_size, vocab_size), np.int64)
+        for k in range(len(guessed) + 1):
+            own = found[found["after"] == k]
+            counts[own["a"], own["b"]] += own["n"]
+            best = _best(counts)
+            if best is None or FIRST_MERGE + len(merges) == vocab_size:
+                return Tokenizer(tuple(merges), train_manifest_hash)
+            merges.append(best)
+            pending.append((*best, FIRST_MERGE + len(merges) - 1))
+            if k == len(guessed) or best != guessed[k][:2]:
+                break
+        # the counts are those before the last merge, so it is the first of the guesses from them
+        guessed = _guess(counts, FIRST_MERGE + len(merges) - 1, min(ahead, vocab_size - FIRST_MERGE - len(merges)) + 1)[1:]
+        if len(pending) >= 2 * ahead:
+            state = written(state.mapInArrow(_replay(_groups(pending)), "ids binary, copies bigint"), "bpe")
+            pending = []
     return Tokenizer(tuple(merges), train_manifest_hash)
