@@ -41,8 +41,13 @@ def total(a) -> Column:
 def softmax(a, temperature: float = 1.0) -> Column:
     """exp((x - max) / t), scaled to a sum of 1; a null entry is masked and gets 0."""
     t = max(temperature, 1e-6)
-    e = F.transform(a, lambda x: F.when(x.isNull(), 0.0).otherwise(F.exp((x.cast("double") - F.array_max(a)) / t)))
-    return F.transform(e, lambda x: x / total(e))
+    top = _let(F.struct(a.alias("v") if isinstance(a, Column) else F.col(a).alias("v"), F.array_max(a).cast("double").alias("m")), lambda s: F.transform(s["v"], lambda x: F.when(x.isNull(), 0.0).otherwise(F.exp((x.cast("double") - s["m"]) / t))))
+    return _let(F.struct(top.alias("e"), total(top).alias("z")), lambda s: F.transform(s["e"], lambda x: x / s["z"]))
+
+
+def _let(value, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def top_k(a, k: int) -> Column:
@@ -77,9 +82,10 @@ def adam(gradients, start: float, lr: float = 0.1, b1: float = 0.9, b2: float =
 
 def common_prefix(a, b) -> Column:
     """The number of leading characters two strings share."""
-    n = F.least(F.length(a), F.length(b))
-    shared = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(a, F.lit(1), i) == F.substr(b, F.lit(1), i))
-    return F.when(n == 0, 0).otherwise(F.size(shared))
+    chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    same = F.zip_with(chars(a), chars(b), lambda x, y: F.coalesce(x == y, F.lit(False)))  # the shorter is filled up with nulls
+    first = F.array_position(same, False)
+    return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
 
 
 def common_suffix(a, b) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.normal import nfc
 from ..operators import dedup, roles, shards
 from ..session import table, written
+from ..sources.formats import ingest
 from .registry import query
 from .text_sql import BUCKET, CORPUS, DOCS, LANE, PAIRS, ROLE, SHINGLED, WORDS
 
@@ -165,13 +166,12 @@ def leakage_audit(spark, d):
     return used.join(own, "doc_id", "left").where(~F.col("role").eqNullSafe("TRAIN")).select("seq_id", "doc_id", "role")
 
 
-@query("""SELECT lower(trim(tier)) AS tier, coalesce(lower(trim(type)), '') AS type, doc_id FROM
-(SELECT *, row_number() OVER (PARTITION BY lower(trim(tier)), coalesce(lower(trim(type)), '') ORDER BY doc_id) AS r FROM (SELECT DISTINCT doc_id, tier, type FROM corpus WHERE trim(text) <> '')) WHERE r <= 20""")
+@query(f"""WITH {CORPUS}, k AS (SELECT tier, coalesce(type, '') AS type, doc_id, trim(text) AS text, row_number() OVER (PARTITION BY tier, coalesce(type, '') ORDER BY doc_id) AS r FROM c WHERE trim(text) <> '')
+SELECT 'sangraha:' || tier || ':' || CASE WHEN type = '' THEN 'x' ELSE type END || '-' || doc_id AS doc_id, length(text)::INTEGER AS chars FROM k WHERE r <= CASE tier WHEN 'verified' THEN 200 ELSE 150 END AND (tier <> 'verified') = (type = '') AND tier IN ('verified', 'unverified', 'synthetic')""")
 def per_group_budget_limit(spark, d):
-    """The first 20 documents of each (tier, type): a per-group limit, as ingest budgets are."""
-    own = table(spark, d, "corpus", "doc_id", "tier", "type", "text").where("trim(text) <> ''").select("doc_id", "tier", "type").distinct()
-    own = own.select("doc_id", F.lower(F.trim("tier")).alias("tier"), F.coalesce(F.lower(F.trim("type")), F.lit("")).alias("type"))
-    return own.withColumn("r", F.row_number().over(Window.partitionBy("tier", "type").orderBy("doc_id"))).where("r <= 20").drop("r")
+    """The corpus ingested with budgets: the first so many documents of each (tier, type) that have text, under new ids."""
+    budgets = {("verified", k): 200 for k in ("web", "speech", "pdf")} | {("unverified", None): 150, ("synthetic", None): 150}
+    return ingest(docs(spark, d), budgets, "sangraha:").select("doc_id", F.length("text").alias("chars"))
 
 
 @query("""SELECT e.item_id, count(*) AS other_items FROM eval_items e JOIN eval_items f ON e.task = f.task AND e.item_id <> f.item_id GROUP BY ALL""")

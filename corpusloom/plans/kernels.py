@@ -15,34 +15,36 @@ from .arrays import _T, tokens
 from .registry import query
 
 
-@query("""WITH e AS (SELECT vec_id, embedding[1:60]::DOUBLE[] AS v, vec_id % 60 AS y FROM embeddings), m AS (SELECT *, list_max(v) AS m FROM e)
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, vec_id % 64 AS y FROM embeddings), m AS (SELECT *, list_max(v) AS m FROM e)
 SELECT vec_id, round(ln(list_sum(list_transform(v, lambda a: exp(a - m)))) + m - v[y + 1], 6) AS loss FROM m""")
 def chunked_cross_entropy(spark, d):
     """Cross-entropy from chunks of 8 scores each, combined by their maxima and sums: as from all at once."""
-    v = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 60).cast("array<double>").alias("v"), (F.col("vec_id") % 60).cast("int").alias("y"))
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("vec_id") % 64).cast("int").alias("y"))
     chunk = v.select("vec_id", "v", "y", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).withColumn("c", F.slice("v", F.col("k") * 8 + 1, F.lit(8)))
     part = chunk.select("vec_id", F.get("v", F.col("y")).alias("s"), F.array_max("c").alias("m"), F.aggregate(F.transform("c", lambda x: F.exp(x - F.array_max("c"))), F.lit(0.0), lambda a, x: a + x).alias("z"))
     top = part.withColumn("top", F.max("m").over(Window.partitionBy("vec_id")))
     return top.groupBy("vec_id").agg((F.ln(F.sum(F.col("z") * F.exp(F.col("m") - F.col("top")))) + F.max("top") - F.max("s")).alias("l")).select("vec_id", F.round("l", 6).alias("loss"))
 
 
-@query("SELECT vec_id, true AS restored FROM embeddings")
+@query("""WITH e AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS b FROM embeddings), p AS (SELECT *, list_transform(list_zip(a, b), lambda z: z[1] + tanh(z[2]) * 0.5) AS p FROM e),
+q AS (SELECT *, list_transform(list_zip(b, p), lambda z: z[1] + tanh(z[2]) * 0.5) AS q FROM p)
+SELECT vec_id, round(list_sum(p), 6) AS p, round(list_sum(q), 6) AS q, list_transform(list_concat(a, b), lambda x: round(x, 9)) AS restored FROM q""")
 def reversible_step(spark, d):
-    """A coupling step and its inverse over the halves of each vector: both halves come back."""
+    """A coupling step over the halves of each vector, and the vector that its inverse brings back."""
     f = lambda a: F.transform(a, lambda x: F.tanh(x) * 0.5)
     add, sub = (lambda a, b: F.zip_with(a, b, lambda x, y: x + y)), (lambda a, b: F.zip_with(a, b, lambda x, y: x - y))
     v = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 32).cast("array<double>").alias("a"), F.slice("embedding", 33, 32).cast("array<double>").alias("b"))
-    y = v.withColumn("p", add("a", f("b"))).withColumn("q", add("b", f("p"))).withColumn("b2", sub("q", f("p"))).withColumn("a2", sub("p", f("b2")))
-    off = lambda x, z: F.aggregate(F.zip_with(x, z, lambda s, t: F.abs(s - t)), F.lit(0.0), lambda m, e: F.greatest(m, e))
-    return y.select("vec_id", ((off("a", "a2") < 1e-12) & (off("b", "b2") < 1e-12)).alias("restored"))
+    y = v.withColumn("p", add("a", f("b"))).withColumn("q", add("b", f("p"))).select("vec_id", "p", "q")
+    back = y.withColumn("b", sub("q", f("p"))).withColumn("a", sub("p", f("b")))
+    return back.select("vec_id", F.round(A.total("p"), 6).alias("p"), F.round(A.total("q"), 6).alias("q"), F.transform(F.concat("a", "b"), lambda x: F.round(x, 9)).alias("restored"))
 
 
-@query("""WITH k AS (SELECT vec_id, substr(sha256('1337|root|0|dropout|' || vec_id), 1, 16) AS k FROM embeddings), e AS (SELECT vec_id, k, i FROM k, range(8) t(i))
+@query("""WITH k AS (SELECT vec_id, substr(sha256('1337|root|0|dropout|' || vec_id), 1, 16) AS k FROM embeddings), e AS (SELECT vec_id, k, i FROM k, range(64) t(i))
 SELECT vec_id, count(*) FILTER (WHERE ('0x' || substr(sha256(unhex(k || lpad(printf('%x', i), 16, '0'))), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE < 0.1::DOUBLE) AS dropped FROM e GROUP BY vec_id""")
 def keyed_dropout(spark, d):
-    """Which of eight units of each vector a keyed mask drops: the same on any partitioning."""
+    """How many of the 64 units of each vector a keyed mask drops, the same on any partitioning."""
     k = H.key_hex(config.SEED, "root", 0, "dropout", F.col("vec_id"))
-    e = table(spark, d, "embeddings", "vec_id").withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    e = table(spark, d, "embeddings", "vec_id").withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(63))))
     return e.groupBy("vec_id").agg(F.count_if(H.uniform_column(F.col("k"), F.col("i")) < 0.1).alias("dropped"))
 
 
@@ -105,10 +107,31 @@ def comment_paths(spark, d):
     return N.without_path(N.renamed(N.visible(c), "notes/view", "old/seen"), "notes/error").select("id", "path")
 
 
-@query("""SELECT vec_id, abs(list_sum(list_transform(list_zip(w, v), lambda z: z[1] * z[2])) - s) < 1e-6 AS same FROM (SELECT vec_id, embedding[1:8]::DOUBLE[] AS w, embedding[9:16]::DOUBLE[] AS v, list_inner_product(embedding[1:8]::DOUBLE[], embedding[9:16]::DOUBLE[]) AS s FROM embeddings)""")
+@query("""WITH e AS (SELECT vec_id, vec_id // 64 AS win, embedding[1:8]::DOUBLE[] AS k, embedding[9:16]::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.vec_id, list_inner_product(q.k, e.k) AS s, e.v FROM e q JOIN e ON e.win = q.win AND e.vec_id <= q.vec_id), o AS (SELECT vec_id, generate_subscripts(v, 1) - 1 AS c, s * unnest(v) AS x FROM s)
+SELECT vec_id, c::INTEGER AS c, round(sum(x), 5) AS value FROM o GROUP BY ALL""")
 def regrouping_identity(spark, d):
-    """(q k) v summed over keys equals q applied to the running sum of k v: the identity that linear attention rests on."""
-    v = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("w"), F.slice("embedding", 9, 8).cast("array<double>").alias("v"))
-    scores = A.total(F.zip_with(F.transform("w", lambda x: x * 0.5), "v", lambda a, b: a * b))
-    state = F.transform("v", lambda x: x * 0.5)
-    return v.select("vec_id", (F.abs(scores - A.total(F.zip_with("w", state, lambda a, b: a * b))) < 1e-6).alias("same"))
+    """Attention without softmax from the running state, Q (K' V) over the keys so far in windows of 64; the SQL takes every query to every key, (Q K') V."""
+    e = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 64).alias("win"), F.slice("embedding", 1, 8).cast("array<double>").alias("k"), F.slice("embedding", 9, 8).cast("array<double>").alias("v"))
+    cells = e.select("vec_id", "win", F.col("k").alias("q"), F.posexplode("k").alias("i", "x"), "v").select("vec_id", "win", "q", "i", "x", F.posexplode("v").alias("c", "y"))
+    w = Window.partitionBy("win", "i", "c").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
+    state = cells.withColumn("s", F.sum(F.col("x") * F.col("y")).over(w))
+    return state.groupBy("vec_id", "c").agg(F.round(F.sum(F.get("q", F.col("i")) * F.col("s")), 5).alias("value"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS run, event_id AS step, value, event_type AS key, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events)
+SELECT run, key, round(sum(value), 4) AS add_only, round(arg_max(value, step), 4) AS corrected FROM e GROUP BY ALL""")
+def delta_rule(spark, d):
+    """A state that only adds keeps every old answer of a key; one that adds the difference to what it holds ends with the last."""
+    e = table(spark, d, "events", "user_id", "event_id", "event_type", "value").select(F.col("user_id").alias("run"), F.col("event_type").alias("key"), "event_id", "value")
+    got = e.groupBy("run", "key").agg(F.sum("value").alias("add_only"), F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("v"))  # a run's answers to one key
+    held = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x["value"] - s))
+    return got.select("run", "key", F.round("add_only", 4).alias("add_only"), F.round(held, 4).alias("corrected"))
+
+
+@query("SELECT x::INTEGER AS factor, round(pow(x, ln(1.41::DOUBLE) / ln(8.0::DOUBLE)), 9) AS cost FROM range(1, 65) t(x)")
+def depth_schedule(spark, d):
+    """Cost against depth, where eight times the depth costs 1.41 times as much."""
+    import math
+
+    return spark.range(1, 65).select(F.col("id").cast("int").alias("factor"), F.round(F.pow("id", F.lit(math.log(1.41) / math.log(8))), 9).alias("cost"))

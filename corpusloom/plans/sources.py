@@ -38,16 +38,18 @@ def js_record_extraction(spark, d):
     return e.select("event_id", F.explode(S.js_records(text, ["id", "date"])).alias("r")).select("event_id", "r.id", "r.date")
 
 
-@query("""SELECT DISTINCT 'https://example.org/' || event_type AS url FROM events""")
+@query(r"""WITH t AS (SELECT text FROM documents UNION ALL SELECT '<a href="https://example.org/' || event_type || '">x</a>' FROM events) SELECT DISTINCT unnest(regexp_extract_all(text, 'https?://[^\s"''<>)\]]+')) AS url FROM t WHERE text IS NOT NULL""")
 def url_extraction(spark, d):
+    """The distinct addresses in the documents' texts, and in markup around the events."""
     t = F.concat(F.lit('<a href="https://example.org/'), "event_type", F.lit('">x</a>'))
-    return table(spark, d, "events", "event_type").select(F.explode(S.urls(t)).alias("url")).distinct()
+    texts = table(spark, d, "documents", "text").union(table(spark, d, "events", t.alias("text"))).where("text is not null")
+    return texts.select(F.explode(S.urls(F.col("text"))).alias("url")).distinct()
 
 
-@query("""WITH c AS (SELECT doc_id, any_value(octet_length(encode(text))) AS n FROM corpus WHERE text IS NOT NULL GROUP BY doc_id), r AS (SELECT doc_id, sum(n) OVER (ORDER BY doc_id) AS upto FROM c)
-SELECT doc_id, CASE WHEN upto <= 990000 THEN 'train' ELSE 'validation' END AS split FROM r WHERE upto <= 1000000""")
+@query("""WITH c AS (SELECT doc_id, any_value(octet_length(encode(text))) AS n FROM corpus WHERE text IS NOT NULL GROUP BY doc_id), r AS (SELECT doc_id, sum(n) OVER (ORDER BY doc_id) AS upto FROM c), k AS (SELECT * FROM r WHERE upto <= 120000000)
+SELECT doc_id, CASE WHEN upto <= 0.99::DOUBLE * (SELECT max(upto) FROM k) THEN 'train' ELSE 'validation' END AS split FROM k""")
 def byte_capped_split(spark, d):
-    return S.byte_cap(docs(spark, d).where("text is not null").select("doc_id", "text"), 1_000_000).select("doc_id", "split")
+    return S.byte_cap(docs(spark, d).where("text is not null").select("doc_id", "text"), 120_000_000).select("doc_id", "split")
 
 
 def _tokenizer(spark, d):

@@ -125,12 +125,13 @@ def replace_block(text: str, name: str, lines: list[str]) -> str:
 
 
 def byte_cap(docs: DataFrame, most: int) -> DataFrame:
-    """docs (doc_id, text) in order of the ids for as long as their bytes, summed, are at most most; with split: the first 99 % of those bytes train, the rest validation."""
+    """docs (doc_id, text) in order of the ids for as long as their bytes, summed, are at most most; with split: the first 99 % of the bytes kept train, the rest validation."""
     from ..operators.shards import offsets
 
     n = docs.select("doc_id", F.lit("").alias("lane"), F.octet_length("text").alias("n"))
     at = offsets(n).where(F.col("end_token") <= most)
-    return docs.join(at.select("doc_id", "start_token", "end_token"), "doc_id").withColumn("split", F.when(F.col("end_token") <= most * 0.99, "train").otherwise("validation"))
+    kept = at.agg(F.max("end_token")).collect()[0][0] or 0  # one number
+    return docs.join(at.select("doc_id", "start_token", "end_token"), "doc_id").withColumn("split", F.when(F.col("end_token") <= kept * 0.99, "train").otherwise("validation"))
 
 
 def save_state(path: str, state: dict) -> str:
