@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..functions.hashing import GENESIS, link, object_hash
 from ..session import written
 
+MANIFEST = "shard_id string, lane string, role string, tokenizer_hash string, content_hash string, doc_count bigint, token_count bigint, offsets map<string,array<bigint>>, created_at string, parent_manifest_hash string, manifest_hash string"
 FIELDS = ("shard_id", "lane", "role", "tokenizer_hash", "content_hash", "doc_count", "token_count", "offsets", "created_at", "parent_manifest_hash")
 
 
@@ -105,20 +106,20 @@ def from_uint16(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else np.frombuffer(b, "<u2").astype(np.int32))
 
 
-def write_shards(docs: DataFrame, out_dir: str, tokenizer_hash: str, role: str = "TRAIN", max_tokens: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, out_dir: str, tokenizer_hash: str, role: str = "TRAIN", max_tokens: int = 64_000) -> DataFrame:
     """docs (doc_id, lane, tokens) as <shard>.bin and <shard>.json under a shared folder; the manifests, without parents linked.
 
-    A shard holds one lane, or at most max_tokens of one (a document stays whole). Each shard is written
+    A shard holds the documents of one lane that start in a stretch of max_tokens of it (a document stays whole). Each shard is written
     by one task, to a name of its own first and then renamed, so a repeated task leaves one whole file.
     """
     n = docs.select("doc_id", "lane", F.size("tokens").alias("n"))
-    placed = offsets(n).withColumn("part", F.floor(F.col("start_token") / F.lit(max_tokens)) if max_tokens else F.lit(0).cast("bigint"))
+    placed = offsets(n).withColumn("part", F.floor(F.col("start_token") / F.lit(max_tokens)))
     own = docs.select("doc_id", "tokens").join(placed, "doc_id")
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lane, part = key
         pdf = pdf.sort_values("doc_id")
-        shard = f"shard-{role}-{lane}" + (f"-{part:06d}" if max_tokens else "")
+        shard = f"shard-{role}-{lane}-{part:06d}"
         first = int(pdf["start_token"].min()) if len(pdf) else 0
         data = np.concatenate([np.asarray(t, np.int64) for t in pdf["tokens"]]).astype("<u2").tobytes()
         m = dict(zip(FIELDS, (shard, lane, role, tokenizer_hash, hashlib.sha256(data).hexdigest(), len(pdf), len(data) // 2, {d: [int(s) - first, int(e) - first] for d, s, e in zip(pdf["doc_id"], pdf["start_token"], pdf["end_token"])}, "frozen", GENESIS)))
@@ -129,10 +130,65 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer_hash: str, role: str =
             with open(tmp, "wb") as f:
                 f.write(body)
             os.replace(tmp, os.path.join(out_dir, name))
-        return pd.DataFrame([{**{k: m[k] for k in FIELDS if k != "offsets"}, "manifest_hash": m["manifest_hash"]}])
+        return pd.DataFrame([[m[k] for k in (*FIELDS, "manifest_hash")]], columns=[*FIELDS, "manifest_hash"])
 
-    schema = "shard_id string, lane string, role string, tokenizer_hash string, content_hash string, doc_count bigint, token_count bigint, created_at string, parent_manifest_hash string, manifest_hash string"
-    return own.groupBy("lane", "part").applyInPandas(one, schema)
+    return own.groupBy("lane", "part").applyInPandas(one, MANIFEST)
+
+
+def linked(manifests: DataFrame, order: list) -> DataFrame:
+    """manifests with each one's parent the one before it in order (columns of manifests), the first one's the start, and their own hashes made anew. Sequential by nature: a hash a shard goes through one task."""
+    rows = manifests.repartitionByRange(*order).sortWithinPartitions(*order).coalesce(1).sortWithinPartitions(*order).select(*FIELDS)
+
+    def fold(batches):
+        prev = GENESIS
+        for b in batches:
+            out = []
+            for r in b.to_dict("records"):
+                r["offsets"] = {k: [int(x) for x in v] for k, v in dict(r["offsets"]).items()}
+                r = {k: int(v) if k in ("doc_count", "token_count") else v for k, v in r.items()} | {"parent_manifest_hash": prev}
+                prev = object_hash(r)
+                out.append([*(r[k] for k in FIELDS), prev])
+            yield pd.DataFrame(out, columns=[*FIELDS, "manifest_hash"])
+
+    return rows.mapInPandas(fold, MANIFEST)
+
+
+def write_manifests(manifests: DataFrame, out_dir: str) -> DataFrame:
+    """Writes each manifest's JSON beside its shard; (shard_id) of those written. In parallel, each file whole or not at all."""
+
+    def write(batches):
+        for b in batches:
+            for r in b.to_dict("records"):
+                m = {k: {d: [int(x) for x in v] for d, v in dict(r[k]).items()} if k == "offsets" else r[k] for k in (*FIELDS, "manifest_hash")}
+                tmp = os.path.join(out_dir, f".{r['shard_id']}.json.{os.getpid()}")
+                with open(tmp, "w", encoding="utf-8") as f:
+                    json.dump(m, f, ensure_ascii=False, indent=2, sort_keys=True)
+                os.replace(tmp, os.path.join(out_dir, f"{r['shard_id']}.json"))
+            yield b[["shard_id"]]
+
+    return manifests.repartition("shard_id").mapInPandas(write, "shard_id string")
+
+
+def ids_digest(rows: DataFrame) -> DataFrame:
+    """One row, digest: the hash of the canonical JSON of {content_hashes, doc_ids} in order of the ids, as one text of any length. Streams through one task, a few bytes a document."""
+    ordered = lambda c: rows.select(F.col(c).alias("x"), "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id").coalesce(1).sortWithinPartitions("doc_id").select("x", F.lit(c).alias("c"))
+
+    def fold(batches):
+        h, now = hashlib.sha256(b'{"content_hashes":['), "content_hash"
+        first = True
+        for b in batches:
+            for x, c in zip(b["x"], b["c"]):
+                if c != now:
+                    h.update(b'],"doc_ids":[')
+                    now, first = c, True
+                h.update((b"" if first else b",") + json.dumps(x, ensure_ascii=False).encode())
+                first = False
+        if now == "content_hash":
+            h.update(b'],"doc_ids":[')
+        h.update(b"]}")
+        yield pd.DataFrame({"digest": [h.hexdigest()]})
+
+    return ordered("content_hash").union(ordered("doc_id")).coalesce(1).mapInPandas(fold, "digest string")
 
 
 def read_shards(spark: SparkSession, out_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ def shard_write_read(spark, d):
     """All documents' tokens to binary shards of at most 64,000 tokens and back, each shard held against its hashes."""
     t = table(spark, d, "doc_tokens", "doc_id", "lane", "tokens").dropDuplicates(["doc_id"])
     out = scratch_path(spark, "shards").removeprefix("file://")
-    shards.write_shards(t, out, "tokenizer", max_tokens=64_000).write.format("noop").mode("overwrite").save()
+    shards.write_shards(t, out, "tokenizer").write.format("noop").mode("overwrite").save()
     back = shards.read_shards(spark, f"file://{out}")
     return back.select("doc_id", "lane", F.size("tokens").alias("n"), F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 

@@ -158,3 +158,12 @@ def load_state(path: str, defaults: dict | None = None) -> dict:
     return {**(defaults or {}), **kept["state"]}
 
 
+
+
+def looked_up(ids: DataFrame, raw: str, reference: DataFrame, order: str, per: int = 25) -> DataFrame:
+    """ids with what a reference (id, ...) says of them, a version (v and digits) at an id's end left off, null where it knows none; request numbers the batches of per different ids, in order."""
+    from ..operators.shards import offsets
+
+    once = ids.select(F.col(order).alias("doc_id")).distinct().withColumn("lane", F.lit("")).withColumn("n", F.lit(1))
+    at = offsets(once).select(F.col("doc_id").alias(order), F.floor(F.col("start_token") / per).alias("request"))
+    return ids.withColumn("id", F.regexp_replace(raw, r"v\d+$", "")).join(reference, "id", "left").join(at, order)
