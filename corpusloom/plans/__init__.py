@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, SQL
 
-MODULES = ("corpus", "packing", "selection", "ledgers", "series", "arrays", "catalogue", "costs", "numbers", "sources", "streams", "kernels", "runs", "audits", "records")
+MODULES = ("corpus", "packing", "selection", "ledgers", "series", "arrays", "catalogue", "costs", "numbers", "sources", "streams", "kernels", "runs", "audits", "records", "models")
 
 
 def _load() -> None:
