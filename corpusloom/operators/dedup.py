@@ -38,9 +38,26 @@ def shingled(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_sets, "doc_id string, n int, shingles array<bigint>")
 
 
+def folded(sets: DataFrame) -> DataFrame:
+    """(doc_id, rep) of the documents of sets: rep is the smallest id with the same set. A group of equal sets, however large, is one row of any later join."""
+    keyed = sets.select("doc_id", F.struct(F.xxhash64("shingles"), F.xxhash64(F.lit(1), "shingles"), "n").alias("key"))
+    return keyed.join(keyed.groupBy("key").agg(F.min("doc_id").alias("rep")), "key").select("doc_id", "rep")
+
+
 def near_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, jaccard), a < b, of documents with similar non-empty sets."""
-    sets = sets.where("n > 0")
+    """(a, b, jaccard), a < b, of documents with similar non-empty sets. Equal sets are joined once and spread out at the end."""
+    own = sets.where("n > 0")
+    of = written(folded(own), "folded")
+    reps = own.join(of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    near = written(distinct_pairs(reps, threshold), "near")
+    x, y = of.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), of.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
+    across = near.join(x, "a").join(y, "b").select("x", "y", "jaccard")
+    within = x.join(y, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
+    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+
+
+def distinct_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """near_pairs() of sets that all differ and are not empty."""
     tokens = sets.select("doc_id", "n", F.explode("shingles").alias("s"))
     common = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # a shingle of one document meets none, yet counts in the order: those come first
@@ -82,7 +99,12 @@ def run(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     known = exact(docs)
     unique = known.where("doc_id = canonical_doc_id").select("doc_id", "text")
     sets = written(shingled(unique), "sets")
-    aside = greedy(near_pairs(sets, threshold))
+    of = written(folded(sets.where("n > 0")), "folded")
+    reps = sets.join(of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    # of equal sets the smallest id decides: if it is kept the others match it, if not they match what it matches
+    first_aside = written(greedy(distinct_pairs(reps, threshold)), "aside")
+    rest = of.where("doc_id <> rep").join(first_aside.select(F.col("doc_id").alias("rep"), "matched", "jaccard"), "rep", "left")
+    aside = first_aside.unionByName(rest.select("doc_id", F.coalesce("matched", "rep").alias("matched"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard")))
     empty = sets.where("n = 0").select("doc_id")
     first = empty.agg(F.min("doc_id")).collect()[0][0]  # one value
     blank = empty.where(F.col("doc_id") != first).select("doc_id", F.lit(first).alias("matched"), F.lit(1.0).alias("jaccard"))

@@ -37,7 +37,7 @@ def fixture():
             w = w.copy()
             w[rng.randrange(80)] = f"x{k}{e}"
             docs.append((f"d{rng.randrange(1000):03d}-{k}-{e}", " ".join(w)))
-    docs += [("a1", docs[0][1]), ("z1", docs[0][1]), ("e1", ""), ("e2", " . "), ("e3", "ಈ ಆ"), ("n1", None)]
+    docs += [("a1", docs[0][1]), ("z1", docs[0][1]), ("b1", docs[0][1] + " ."), ("d0", docs[9][1] + "!"), ("y1", docs[9][1] + " ?"), ("e1", ""), ("e2", " . "), ("e3", "ಈ ಆ"), ("n1", None)]
     return docs
 
 
