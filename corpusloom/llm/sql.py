@@ -44,5 +44,24 @@ z AS (SELECT t.source, target_share, max_repeats, coalesce(sum(octet_length(enco
 SELECT source FROM z WHERE size * max_repeats < target_share * (SELECT sum(size) FROM z)"""
 
 
+P1_REPORT = f"""WITH {_SETS}, {_SPLITS}, src AS (SELECT doc_id, coalesce(min(lower(trim(source))), '') AS source FROM corpus GROUP BY doc_id),
+own AS (SELECT s.doc_id, text, train, held FROM sets s JOIN docs USING (doc_id) JOIN sides USING (doc_id)), h AS (SELECT doc_id, text FROM own WHERE held),
+met AS (SELECT a AS doc_id, b AS other FROM alike UNION ALL SELECT b, a FROM alike),
+seen AS (SELECT h.doc_id, EXISTS (SELECT 1 FROM own t WHERE t.train AND t.doc_id <> h.doc_id AND t.text = h.text) AS exact, h.doc_id IN (SELECT m.doc_id FROM met m JOIN own t ON t.doc_id = m.other AND t.train) AS near_there FROM h)
+SELECT role, source, count(*) AS documents, count(*) FILTER (WHERE exact) AS exact, count(*) FILTER (WHERE near_there AND NOT exact) AS near FROM seen JOIN splits USING (doc_id) JOIN src USING (doc_id) WHERE role IN ('VALIDATION', 'EVAL') GROUP BY ALL"""
+
+P2_PIECES = P2_FOUND[: P2_FOUND.index("SELECT DISTINCT parent_doc_id")] + """SELECT doc_id, parent_doc_id, tokens[s + 1:coalesce(next + 16, n)] AS tokens, (origin + s)::INTEGER AS token_offset_in_parent FROM starts JOIN oversized USING (doc_id)
+UNION ALL SELECT doc_id, parent_doc_id, tokens, origin::INTEGER FROM placed WHERE len(tokens) <= 128"""
+
+_CLASSES = "keyed AS (SELECT doc_id, array_to_string(list_sort(sh), chr(1)) AS k FROM sets), heads AS (SELECT k, min(doc_id) AS class_id, count(*) AS copies FROM keyed GROUP BY k)"
+
+P3_LINKS = f"""WITH {_SETS}, {_CLASSES}, met AS (SELECT a AS x, b AS y FROM alike UNION ALL SELECT b, a FROM alike),
+l AS (SELECT x, count(DISTINCT ky.k) AS links FROM met JOIN keyed kx ON kx.doc_id = x JOIN keyed ky ON ky.doc_id = y WHERE kx.k <> ky.k GROUP BY x)
+SELECT doc_id, class_id, copies, coalesce(links, 0) AS links FROM keyed JOIN heads USING (k) LEFT JOIN l ON x = doc_id"""
+
+P3_GROUPS = f"""WITH RECURSIVE {_SETS}, met AS (SELECT a AS x, b AS y FROM alike UNION SELECT b, a FROM alike), reach AS (SELECT x, y FROM met UNION SELECT r.x, m.y FROM reach r JOIN met m ON m.x = r.y)
+SELECT x AS doc_id, least(min(y), x) AS group_id FROM reach GROUP BY x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p1_report": P1_REPORT, "p2_found": P2_FOUND, "p2_pieces": P2_PIECES, "p3_found": P3_FOUND, "p3_links": P3_LINKS, "p3_groups": P3_GROUPS, "p6_found": P6_FOUND}
