@@ -20,25 +20,35 @@ def _record(index, kind, payload) -> str:
     return f'{{"index":{index},"payload":{payload},"record_type":{json.dumps(kind, ensure_ascii=False)}}}'
 
 
-def build(records: DataFrame) -> DataFrame:
-    """records (chain, index, record_type, payload) with prev_hash and chain_hash. Streams through each chain in order; nothing but the last hash is held."""
-    ordered = records.repartition("chain").sortWithinPartitions("chain", "index").select("chain", "index", "record_type", "payload")
+def build(records: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """records (chain, index, record_type, payload) with prev_hash and chain_hash. Streams through each chain in order; nothing but the last hash is held. last (chain, chain_hash) says what a chain goes on from, where it has begun before."""
+    own = records.select("chain", "index", "record_type", "payload")
+    own = own.withColumn("begin", F.lit(GENESIS)) if last is None else own.join(last.select("chain", F.col("chain_hash").alias("begin")), "chain", "left").withColumn("begin", F.coalesce("begin", F.lit(GENESIS)))
+    ordered = own.repartition("chain").sortWithinPartitions("chain", "index").select("chain", "index", "record_type", "payload", "begin")
 
     def fold(batches):
         chain, prev = None, GENESIS
         for b in batches:
             before, after = [], []
-            for c, i, k, p in b.itertuples(index=False):
+            for c, i, k, p, begin in b.itertuples(index=False):
                 if c != chain:
-                    chain, prev = c, GENESIS
+                    chain, prev = c, begin
                 before.append(prev)
                 prev = sha256(f"{prev}|{_record(i, k, p)}")
                 after.append(prev)
-            yield b.assign(prev_hash=before, chain_hash=after)
+            yield b.drop(columns="begin").assign(prev_hash=before, chain_hash=after)
 
     return ordered.mapInPandas(fold, "chain string, index bigint, record_type string, payload string, prev_hash string, chain_hash string")
 
 
+def appended(ledger: DataFrame, records: DataFrame) -> DataFrame:
+    """The rows to append to a ledger for new records (chain, record_type, payload, at): numbered on, in order of at, and chained to its last ones."""
+    last = ledger.groupBy("chain").agg(F.max_by("chain_hash", "index").alias("chain_hash"), F.max("index").alias("last"))
+    number = F.row_number().over(Window.partitionBy("chain").orderBy("at")).cast("bigint")
+    rows = records.withColumn("n", number).join(last.select("chain", "last"), "chain", "left")
+    return build(rows.select("chain", (F.coalesce("last", F.lit(-1)) + F.col("n")).cast("bigint").alias("index"), "record_type", "payload"), last)
+
+
 def breaks(ledger: DataFrame) -> DataFrame:
     """(chain, index) of the records whose hash, or link to the record before, is not right. In parallel."""
     w = Window.partitionBy("chain").orderBy("index")

@@ -178,7 +178,7 @@ def per_group_budget_limit(spark, d):
 def eval_items_by_task(spark, d):
     own = table(spark, d, "eval_items", "item_id", "task")
     size = own.groupBy("task").agg((F.count(F.lit(1)) - 1).alias("other_items"))
-    return own.join(F.broadcast(size), "task").where("other_items > 0").select("item_id", "other_items")
+    return own.join(size, "task").where("other_items > 0").select("item_id", "other_items")
 
 
 @query(f"WITH {CORPUS}, b AS (SELECT substr(sha256(doc_id), 1, 4) AS k, sha256(string_agg(doc_id || ':' || sha256(text), ',' ORDER BY doc_id)) AS h FROM c WHERE text IS NOT NULL AND {ROLE} = 'TRAIN' GROUP BY k) SELECT sha256(string_agg(h, ',' ORDER BY k)) AS train_manifest FROM b")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..operators import ledger as L
-from ..session import table
+from ..session import scratch_path, table
 from .packing import packed
 from .registry import query
 
@@ -23,14 +23,27 @@ def records(spark, d):
 _REC = """r AS (SELECT 'user-' || user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS index, upper(event_type) AS record_type, '{"event":' || event_id || '}' AS payload FROM events)"""
 
 
-@query(f"""WITH RECURSIVE {_REC}, c AS (
+_CHAINED = f"""WITH RECURSIVE {_REC}, c AS (
 SELECT chain, index, 'GENESIS' AS prev_hash, sha256('GENESIS|{{"index":' || index || ',"payload":' || payload || ',"record_type":"' || record_type || '"}}') AS chain_hash FROM r WHERE index = 0
 UNION ALL SELECT r.chain, r.index, c.chain_hash, sha256(c.chain_hash || '|{{"index":' || r.index || ',"payload":' || r.payload || ',"record_type":"' || r.record_type || '"}}') FROM c JOIN r ON r.chain = c.chain AND r.index = c.index + 1)
-SELECT chain, index, prev_hash, chain_hash FROM c""")
+SELECT chain, index, prev_hash, chain_hash FROM c"""
+
+
+@query(_CHAINED)
 def ledger_chain_build(spark, d):
     return L.build(records(spark, d)).select("chain", "index", "prev_hash", "chain_hash")
 
 
+@query(_CHAINED)
+def ledger_appended(spark, d):
+    """The ledgers written to a table in two goes, the second chained to what the first left there."""
+    r = records(spark, d)
+    path = scratch_path(spark, "ledger")
+    L.build(r.where("index < 3")).write.parquet(path)
+    L.appended(spark.read.parquet(path), r.where("index >= 3").withColumnRenamed("index", "at")).write.mode("append").parquet(path)
+    return spark.read.parquet(path).select("chain", "index", "prev_hash", "chain_hash")
+
+
 @query(f"""WITH {_REC}, n AS (SELECT chain, max(index) AS last FROM r GROUP BY chain) SELECT chain, 1::BIGINT AS index FROM n WHERE last >= 1 AND chain LIKE '%7' """)
 def ledger_chain_verify(spark, d):
     """Chains of which every tenth had its second record tampered with: the verification finds just those records."""

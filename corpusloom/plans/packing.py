@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import packing as P
+from ..operators import roles
 from ..session import table
 from .registry import query
 
@@ -36,13 +37,44 @@ def pack_groups(spark, d):
     return P.grouped(P.fragments(train_tokens(spark, d))).select("lane", "doc_id", "group_index")
 
 
-@query()
+def _exact(items: str) -> str:
+    """CTEs up to binned (g, i, bin) of items (g, i, n): the fewest bins of 128 by a table over the subsets of each group, one size of subsets an iteration, then the way back through it.
+
+    A subset's value is its bins and the room taken in the open one; of equally good last items the latest counts.
+    """
+    return f"""its AS ({items}), whole AS (SELECT g, count(*) AS m FROM its GROUP BY g),
+dp AS (SELECT g, 0::BIGINT AS mask, 128::BIGINT AS v, NULL::INTEGER AS last FROM whole
+UNION ALL SELECT g, nm, min(k) // 64, (63 - min(k) % 64)::INTEGER FROM (SELECT dp.g, dp.mask | (1::BIGINT << its.i) AS nm, (CASE WHEN v % 256 + n <= 128 THEN v + n ELSE (v // 256 + 1) * 256 + n END) * 64 + 63 - its.i AS k FROM dp JOIN its ON its.g = dp.g WHERE (dp.mask >> its.i) & 1 = 0) GROUP BY g, nm),
+back AS (SELECT g, (1::BIGINT << m) - 1 AS mask, NULL::INTEGER AS i, NULL::BIGINT AS bin FROM whole UNION ALL SELECT b.g, b.mask - (1::BIGINT << d.last), d.last, d.v // 256 - 1 FROM back b JOIN dp d ON d.g = b.g AND d.mask = b.mask WHERE b.mask > 0),
+binned AS (SELECT g, i, bin FROM back WHERE i IS NOT NULL)"""
+
+
+def _packed_sql(docs: str, size: str, cap: str, parts: str) -> str:
+    """CTEs up to out (seq_id, lane, group_index, bin_index, doc_ids_present, input_ids, loss_mask) of docs (doc_id, lane, tokens)."""
+    items = "SELECT lane || ':' || group_index AS g, (row_number() OVER (PARTITION BY lane, group_index ORDER BY doc_id) - 1)::INTEGER AS i, len(t) AS n FROM grp"
+    return f"""WITH RECURSIVE {docs}, e AS (SELECT doc_id, lane, tokens, {parts} AS parts, unnest(range({parts})) AS i FROM t),
+f AS (SELECT CASE WHEN parts > 1 THEN doc_id || '::frag' || i ELSE doc_id END AS doc_id, lane, tokens[i * 128 + 1:i * 128 + 128] AS t FROM e),
+grp AS (SELECT *, ((row_number() OVER (PARTITION BY lane ORDER BY doc_id) - 1) // {size})::INTEGER AS group_index FROM f), {_exact(items)},
+placed AS (SELECT grp.*, bin, (row_number() OVER (PARTITION BY lane, group_index, bin ORDER BY doc_id) - 1) // {cap} AS slice FROM (SELECT *, lane || ':' || group_index AS g, row_number() OVER (PARTITION BY lane, group_index ORDER BY doc_id) - 1 AS i FROM grp) grp JOIN binned USING (g, i)),
+bins AS (SELECT lane, group_index, bin, slice, list(doc_id ORDER BY doc_id) AS doc_ids_present, flatten(list(t ORDER BY doc_id)) AS ids, flatten(list(list_concat([0], list_transform(range(len(t) - 1), lambda x: 1)) ORDER BY doc_id)) AS mask FROM placed GROUP BY ALL),
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY lane, group_index ORDER BY bin, slice) - 1)::INTEGER AS bin_index, row_number() OVER (PARTITION BY lane ORDER BY group_index, bin, slice) - 1 AS number FROM bins),
+out AS (SELECT lane || ':g' || group_index || ':b' || bin_index || ':' || number AS seq_id, lane, group_index, bin_index, doc_ids_present, list_concat(ids, list_transform(range(128 - len(ids)), lambda x: 0)) AS input_ids, list_concat(mask, list_transform(range(128 - len(mask)), lambda x: 0)) AS loss_mask FROM numbered)"""
+
+
+_CAP = "CASE lane WHEN 'verified-web' THEN 8 WHEN 'verified-speech' THEN 12 WHEN 'verified-pdf' THEN 4 ELSE 6 END"
+
+
+@query(_packed_sql(_TRAIN, _SIZE, _CAP, _PARTS) + " SELECT seq_id, lane, group_index, bin_index, doc_ids_present, input_ids, loss_mask FROM out")
 def pack_lanes(spark, d):
-    """The packing of all TRAIN documents: fewest bins in each group."""
-    return P.pack(train_tokens(spark, d)).select("seq_id", "lane", "group_index", "bin_index", "doc_ids_present", "input_ids", "loss_mask")
+    """The packing of all TRAIN documents, let in by the gate: fewest bins in each group."""
+    t = table(spark, d, "doc_tokens", "doc_id", "role", "lane", "tokens").where("role = 'TRAIN'").dropDuplicates(["doc_id"])
+    return P.pack(roles.admitted(t, "training").where(F.col("role") == "TRAIN").select("doc_id", "lane", "tokens")).select("seq_id", "lane", "group_index", "bin_index", "doc_ids_present", "input_ids", "loss_mask")
 
 
-@query()
+@query(
+    _packed_sql("t AS (SELECT doc_id, any_value(role) AS lane, any_value(tokens) AS tokens FROM doc_tokens WHERE role IN ('PROXY', 'VALIDATION') GROUP BY doc_id)", "14", "1000000", "CASE WHEN len(tokens) <= 128 THEN 1 ELSE ceil(len(tokens) / 128.0)::BIGINT END")
+    + " SELECT seq_id, doc_ids_present FROM out"
+)
 def pack_role_agnostic(spark, d):
     """PROXY and VALIDATION documents, each role packed as one lane, without a document cap."""
     t = table(spark, d, "doc_tokens").where(F.col("role").isin("PROXY", "VALIDATION")).select("doc_id", F.col("role").alias("lane"), "tokens").dropDuplicates(["doc_id"])
@@ -94,17 +126,26 @@ def token_counts(spark, d):
     return t.groupBy("role", "lane").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"), F.max("n").alias("longest"))
 
 
-@query()
+_GROUP_ITEMS = """SELECT g, (row_number() OVER (PARTITION BY g ORDER BY seq_id, b) - 1)::INTEGER AS i, n FROM (SELECT lane || ':' || group_index AS g, seq_id, b, count(*) AS n FROM (SELECT seq_id, any_value(lane) AS lane, any_value(group_index) AS group_index, unnest(any_value(attention_block_ids)) AS b FROM packed GROUP BY seq_id) WHERE b >= 0 GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE every AS ({_GROUP_ITEMS}), sorted AS (SELECT g, n, row_number() OVER (PARTITION BY g ORDER BY n DESC, i) AS r FROM every),
+ffd AS (SELECT DISTINCT g, 0::BIGINT AS r, []::BIGINT[] AS rooms FROM every UNION ALL
+SELECT f.g, s.r, CASE WHEN len(list_filter(rooms, lambda x: x >= s.n)) = 0 THEN list_append(rooms, 128 - s.n) ELSE list_transform(rooms, lambda x, k: CASE WHEN k = list_position(list_transform(rooms, lambda y: y >= s.n), true) THEN x - s.n ELSE x END) END FROM ffd f JOIN sorted s ON s.g = f.g AND s.r = f.r + 1),
+f AS (SELECT g, len(arg_max(rooms, r)) AS ffd FROM ffd GROUP BY g), open AS (SELECT f.g FROM f JOIN (SELECT g, ceil(sum(n) / 128.0) AS low FROM every GROUP BY g) USING (g) WHERE ffd > low),
+{_exact("SELECT every.* FROM every JOIN open USING (g)")}, best AS (SELECT f.g, coalesce(max(v // 256), any_value(ffd)) AS exact FROM f LEFT JOIN (SELECT dp.g, dp.v FROM dp JOIN whole USING (g) WHERE mask = (1::BIGINT << m) - 1) x USING (g) GROUP BY f.g), p AS (SELECT DISTINCT lane, group_index, seq_id FROM packed)
+SELECT lane, group_index, count(*) AS sequences, any_value(ffd)::INTEGER AS ffd, any_value(exact)::INTEGER AS exact, any_value(ffd) <= 11 / 9.0::DOUBLE * any_value(exact) + 6 / 9.0::DOUBLE + 1e-9 AS within_bound FROM p JOIN f ON f.g = lane || ':' || group_index JOIN best ON best.g = f.g GROUP BY ALL""")
 def packing_quality(spark, d):
-    """Each group of packed: its sequences, and the first-fit-decreasing and least possible numbers for its items."""
+    """Each group of packed: its sequences, the first-fit-decreasing and least possible numbers for its items, and whether the one is within its bound of the other."""
     blocks = F.filter("attention_block_ids", lambda b: b >= 0)
     own = packed(spark, d, "lane", "group_index", "attention_block_ids").select("lane", "group_index", F.transform(F.array_distinct(blocks), lambda b: F.size(F.filter("attention_block_ids", lambda x: x == b))).alias("n"))
     groups = own.groupBy("lane", "group_index").agg(F.count(F.lit(1)).alias("sequences"), F.flatten(F.collect_list("n")).alias("n"))
 
-    @F.udf("struct<ffd:int,exact:int>", useArrow=True)
+    @F.udf("struct<ffd:int,exact:int,within:boolean>", useArrow=True)
     def both(n):
         n = [int(x) for x in n]
         ffd = max(P.first_fit_decreasing(n, config.SEQ_LEN), default=-1) + 1
-        return {"ffd": ffd, "exact": max(P.exact_bins(n, config.SEQ_LEN), default=-1) + 1 if len(n) <= config.EXACT_GROUP else None}
+        exact = max(P.exact_bins(n, config.SEQ_LEN), default=-1) + 1 if len(n) <= config.EXACT_GROUP else None
+        return {"ffd": ffd, "exact": exact, "within": None if exact is None else P.within_bound(ffd, exact)}
 
-    return groups.withColumn("b", both("n")).select("lane", "group_index", "sequences", "b.ffd", "b.exact")
+    return groups.withColumn("b", both("n")).select("lane", "group_index", "sequences", "b.ffd", "b.exact", F.col("b.within").alias("within_bound"))

@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Only a local session, whose executors are this machine, may leave it unset and gets a temporary one."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("corpusloom.scratch", None)
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("corpusloom.scratch", None)
     if not at:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")

@@ -18,6 +18,6 @@ def test_intermediates_go_with_their_block(spark):
 
 def test_a_cluster_needs_a_shared_folder():
     conf = SimpleNamespace(get=lambda *_: None)
-    fake = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf)
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf)  # neither names one
     with pytest.raises(RuntimeError):
         S.shared_dir(fake)
