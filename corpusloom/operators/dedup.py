@@ -60,9 +60,10 @@ def distinct_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     """near_pairs() of sets that all differ and are not empty."""
     tokens = sets.select("doc_id", "n", F.explode("shingles").alias("s"))
     common = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # a shingle of one document meets none, yet counts in the order: those come first
-    ranked = tokens.join(common, "s", "left").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("df", F.lit(1)), "s")))
-    prefix = ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1) & F.col("df").isNotNull()).select("doc_id", "n", "s")
+    # a shingle of one document meets none, yet counts in the order: those come first, so the others rank behind their number
+    shared, w = tokens.join(common, "s"), Window.partitionBy("doc_id")
+    rank = F.col("n") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("df", "s"))
+    prefix = shared.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("doc_id", "n", "s")
     x, y = prefix.alias("x"), prefix.alias("y")
     near = (F.col("x.s") == F.col("y.s")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n"))
     pairs = x.join(y, near).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
