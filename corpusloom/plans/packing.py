@@ -37,16 +37,21 @@ def pack_groups(spark, d):
     return P.grouped(P.fragments(train_tokens(spark, d))).select("lane", "doc_id", "group_index")
 
 
-def _exact(items: str) -> str:
-    """CTEs up to binned (g, i, bin) of items (g, i, n): the fewest bins of 128 by a table over the subsets of each group, one size of subsets an iteration, then the way back through it.
+def _exact(items: str, needed: str = "true") -> str:
+    """CTEs up to lim (g, m, total, ffd) and binned (g, i, bin) of items (g, i, n): the fewest bins of 128 by a table over the subsets of each group for which needed holds, one size of subsets an iteration; way has 5 bits for the bin of each item.
 
     A subset's value is its bins and the room taken in the open one; of equally good last items the latest counts.
+    Subsets that cannot be completed within the first-fit-decreasing number are on no best way and are left out.
     """
-    return f"""its AS ({items}), whole AS (SELECT g, count(*) AS m FROM its GROUP BY g),
-dp AS (SELECT g, 0::BIGINT AS mask, 128::BIGINT AS v, NULL::INTEGER AS last FROM whole
-UNION ALL SELECT g, nm, min(k) // 64, (63 - min(k) % 64)::INTEGER FROM (SELECT dp.g, dp.mask | (1::BIGINT << its.i) AS nm, (CASE WHEN v % 256 + n <= 128 THEN v + n ELSE (v // 256 + 1) * 256 + n END) * 64 + 63 - its.i AS k FROM dp JOIN its ON its.g = dp.g WHERE (dp.mask >> its.i) & 1 = 0) GROUP BY g, nm),
-back AS (SELECT g, (1::BIGINT << m) - 1 AS mask, NULL::INTEGER AS i, NULL::BIGINT AS bin FROM whole UNION ALL SELECT b.g, b.mask - (1::BIGINT << d.last), d.last, d.v // 256 - 1 FROM back b JOIN dp d ON d.g = b.g AND d.mask = b.mask WHERE b.mask > 0),
-binned AS (SELECT g, i, bin FROM back WHERE i IS NOT NULL)"""
+    return f"""its AS ({items}), srt AS (SELECT g, n, row_number() OVER (PARTITION BY g ORDER BY n DESC, i) AS r FROM its),
+fit AS (SELECT DISTINCT g, 0::BIGINT AS r, []::BIGINT[] AS rooms FROM its UNION ALL
+SELECT f.g, s.r, CASE WHEN len(list_filter(rooms, lambda x: x >= s.n)) = 0 THEN list_append(rooms, 128 - s.n) ELSE list_transform(rooms, lambda x, k: CASE WHEN k = list_position(list_transform(rooms, lambda y: y >= s.n), true) THEN x - s.n ELSE x END) END FROM fit f JOIN srt s ON s.g = f.g AND s.r = f.r + 1),
+lim AS (SELECT g, count(*) AS m, sum(n)::BIGINT AS total, any_value(ffd) AS ffd FROM its JOIN (SELECT g, len(arg_max(rooms, r)) AS ffd FROM fit GROUP BY g) USING (g) GROUP BY g),
+dp AS (SELECT g, 0::BIGINT AS mask, 128::BIGINT AS v, 0::HUGEINT AS way, 0::BIGINT AS u, m, total, ffd FROM lim WHERE {needed}
+UNION ALL SELECT g, nm, min(k) // 64, arg_min(way + ((k // 16384 - 1)::HUGEINT << (5 * i)), k), any_value(nu), any_value(m), any_value(total), any_value(ffd) FROM (SELECT *, (CASE WHEN v % 256 + n <= 128 THEN v + n ELSE (v // 256 + 1) * 256 + n END) * 64 + 63 - i AS k
+  FROM (SELECT dp.*, its.i, its.n, dp.mask | (1::BIGINT << its.i) AS nm, u + its.n AS nu FROM dp JOIN its ON its.g = dp.g WHERE (dp.mask >> its.i) & 1 = 0))
+  WHERE k // 16384 + greatest(total - nu - (128 - k // 64 % 256) + 127, 0) // 128 <= ffd GROUP BY g, nm),
+binned AS (SELECT g, i, ((way >> (5 * i)) % 32)::BIGINT AS bin FROM (SELECT g, way, unnest(range(m)) AS i FROM dp WHERE mask = (1::BIGINT << m) - 1))"""
 
 
 def _packed_sql(docs: str, size: str, cap: str, parts: str) -> str:
@@ -129,12 +134,8 @@ def token_counts(spark, d):
 _GROUP_ITEMS = """SELECT g, (row_number() OVER (PARTITION BY g ORDER BY seq_id, b) - 1)::INTEGER AS i, n FROM (SELECT lane || ':' || group_index AS g, seq_id, b, count(*) AS n FROM (SELECT seq_id, any_value(lane) AS lane, any_value(group_index) AS group_index, unnest(any_value(attention_block_ids)) AS b FROM packed GROUP BY seq_id) WHERE b >= 0 GROUP BY ALL)"""
 
 
-@query(f"""WITH RECURSIVE every AS ({_GROUP_ITEMS}), sorted AS (SELECT g, n, row_number() OVER (PARTITION BY g ORDER BY n DESC, i) AS r FROM every),
-ffd AS (SELECT DISTINCT g, 0::BIGINT AS r, []::BIGINT[] AS rooms FROM every UNION ALL
-SELECT f.g, s.r, CASE WHEN len(list_filter(rooms, lambda x: x >= s.n)) = 0 THEN list_append(rooms, 128 - s.n) ELSE list_transform(rooms, lambda x, k: CASE WHEN k = list_position(list_transform(rooms, lambda y: y >= s.n), true) THEN x - s.n ELSE x END) END FROM ffd f JOIN sorted s ON s.g = f.g AND s.r = f.r + 1),
-f AS (SELECT g, len(arg_max(rooms, r)) AS ffd FROM ffd GROUP BY g), open AS (SELECT f.g FROM f JOIN (SELECT g, ceil(sum(n) / 128.0) AS low FROM every GROUP BY g) USING (g) WHERE ffd > low),
-{_exact("SELECT every.* FROM every JOIN open USING (g)")}, best AS (SELECT f.g, coalesce(max(v // 256), any_value(ffd)) AS exact FROM f LEFT JOIN (SELECT dp.g, dp.v FROM dp JOIN whole USING (g) WHERE mask = (1::BIGINT << m) - 1) x USING (g) GROUP BY f.g), p AS (SELECT DISTINCT lane, group_index, seq_id FROM packed)
-SELECT lane, group_index, count(*) AS sequences, any_value(ffd)::INTEGER AS ffd, any_value(exact)::INTEGER AS exact, any_value(ffd) <= 11 / 9.0::DOUBLE * any_value(exact) + 6 / 9.0::DOUBLE + 1e-9 AS within_bound FROM p JOIN f ON f.g = lane || ':' || group_index JOIN best ON best.g = f.g GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {_exact(_GROUP_ITEMS, "ffd > ceil(total / 128.0)")}, f AS (SELECT g, any_value(ffd) AS ffd, coalesce(max(bin) + 1, any_value(ffd)) AS exact FROM lim LEFT JOIN binned USING (g) GROUP BY g), p AS (SELECT DISTINCT lane, group_index, seq_id FROM packed)
+SELECT lane, group_index, count(*) AS sequences, any_value(ffd)::INTEGER AS ffd, any_value(exact)::INTEGER AS exact, any_value(ffd) <= 11 / 9.0::DOUBLE * any_value(exact) + 6 / 9.0::DOUBLE + 1e-9 AS within_bound FROM p JOIN f ON f.g = lane || ':' || group_index GROUP BY ALL""")
 def packing_quality(spark, d):
     """Each group of packed: its sequences, the first-fit-decreasing and least possible numbers for its items, and whether the one is within its bound of the other."""
     blocks = F.filter("attention_block_ids", lambda b: b >= 0)
