@@ -159,7 +159,9 @@ def pack(docs: DataFrame, seq_len: int = config.SEQ_LEN, policies: dict[str, con
     policies = config.PACKING if policies is None else policies
     groups = written(grouped(fragments(docs, seq_len, policies), policies).select("lane", "group_index", "doc_id", "parent_doc_id", "tokens"), "groups")
     sizes = groups.select("lane", "group_index", "doc_id", F.size("tokens").alias("n"))
-    bins = sizes.groupBy("lane", "group_index").applyInPandas(_bins(seq_len, policies, cap), "lane string, group_index int, doc_id string, bin_index int")
+    # lengths are few bytes and much work: by their size alone they would all be one task's
+    tasks = max(4 * docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bins = sizes.repartition(tasks, "lane", "group_index").groupBy("lane", "group_index").applyInPandas(_bins(seq_len, policies, cap), "lane string, group_index int, doc_id string, bin_index int")
     bins = written(bins, "bins")
     place = F.format_string("%012d:%012d", "group_index", "bin_index")
     number = offsets(bins.select("lane", place.alias("doc_id")).distinct().withColumn("n", F.lit(1))).select("lane", F.col("doc_id").alias("place"), F.col("start_token").alias("number"))
