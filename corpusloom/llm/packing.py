@@ -254,4 +254,6 @@ def repackable(packed: DataFrame, capacity: int = CAPACITY, most_states: int = M
     Differencing decides; where it stays at the group's own number and no bound excludes fewer, its complete
     form does. A group goes to Python as its counts by length. A group of null lane or index is one of its own.
     """
-    return group_counts(packed).mapInArrow(_judge(capacity, most_states), "lane string, group_index int, sequences int, fewer int, how string").where("fewer < sequences")
+    sc = packed.sparkSession.sparkContext
+    groups = group_counts(packed).repartition(max(2 * sc.defaultParallelism, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "lane", "group_index")  # few bytes, much work
+    return groups.mapInArrow(_judge(capacity, most_states), "lane string, group_index int, sequences int, fewer int, how string").where("fewer < sequences")
