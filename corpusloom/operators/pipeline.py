@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.hashing import object_hash
 from ..session import scratch_path, written
 from . import dedup, packing, roles, shards
 from . import tokenizer as TK
@@ -35,15 +36,15 @@ class Corpus:
 
 
 def build(docs: DataFrame, folder: str | None = None) -> Corpus:
-    """The corpus of docs (doc_id, tier, type, text). folder, shared by the executors, takes the shards; one among the intermediate tables unless given."""
+    """The corpus of docs (doc_id, tier, type, text); rows with a null id or text are left out, an empty table gives empty ones and a tokenizer without merges. folder, shared by the executors, takes the shards; one among the intermediate tables unless given."""
     spark = docs.sparkSession
     known = written(dedup.run(docs), "known")
     kept = known.where("status <> 'exact_duplicate'")
     given = roles.assign(kept, known.where("status = 'quarantined'")).select("doc_id", roles.lane().alias("lane"), "role", "status", "text", "content_hash")
     given = written(given, "roles")
     train = roles.admitted(given.where("role = 'TRAIN'"), "training")
-    digest = shards.ids_digest(train.select("doc_id", "content_hash")).collect()[0].digest
-    tokenizer = TK.train(train.select("text"), train_manifest_hash=digest)
+    digest = shards.ids_digest(train.select("doc_id", "content_hash")).collect()  # one row, or none for no documents
+    tokenizer = TK.train(train.select("text"), train_manifest_hash=digest[0].digest if digest else object_hash({"content_hashes": [], "doc_ids": []}))
     frozen = tokenizer.freeze_hash()
     lane = F.when(F.col("role") == "TRAIN", F.col("lane")).otherwise(F.lower("role"))
     tokens = written(given.where(F.col("role").isin(*SHARDED)).select("doc_id", "role", lane.alias("lane"), tokenizer.encode_column("text").alias("tokens")).where("lane is not null"), "tokens")

@@ -170,7 +170,7 @@ def write_manifests(manifests: DataFrame, out_dir: str) -> DataFrame:
 
 
 def ids_digest(rows: DataFrame) -> DataFrame:
-    """One row, digest: the hash of the canonical JSON of {content_hashes, doc_ids} in order of the ids, as one text of any length. Streams through one task, a few bytes a document."""
+    """One row, digest: the hash of the canonical JSON of {content_hashes, doc_ids} in order of the ids, as one text of any length. Streams through one task, a few bytes a document. No row for no documents."""
     ordered = lambda c: rows.select(F.col(c).alias("x"), "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id").coalesce(1).sortWithinPartitions("doc_id").select("x", F.lit(c).alias("c"))
 
     def fold(batches):
