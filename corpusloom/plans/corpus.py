@@ -167,11 +167,11 @@ def leakage_audit(spark, d):
 
 
 @query(f"""WITH {CORPUS}, k AS (SELECT tier, coalesce(type, '') AS type, doc_id, trim(text) AS text, row_number() OVER (PARTITION BY tier, coalesce(type, '') ORDER BY doc_id) AS r FROM c WHERE trim(text) <> '')
-SELECT 'sangraha:' || tier || ':' || CASE WHEN type = '' THEN 'x' ELSE type END || '-' || doc_id AS doc_id, length(text)::INTEGER AS chars FROM k WHERE r <= CASE tier WHEN 'verified' THEN 200 ELSE 150 END AND (tier <> 'verified') = (type = '') AND tier IN ('verified', 'unverified', 'synthetic')""")
+SELECT 'ingested:' || tier || ':' || CASE WHEN type = '' THEN 'x' ELSE type END || '-' || doc_id AS doc_id, length(text)::INTEGER AS chars FROM k WHERE r <= CASE tier WHEN 'verified' THEN 200 ELSE 150 END AND (tier <> 'verified') = (type = '') AND tier IN ('verified', 'unverified', 'synthetic')""")
 def per_group_budget_limit(spark, d):
     """The corpus ingested with budgets: the first so many documents of each (tier, type) that have text, under new ids."""
     budgets = {("verified", k): 200 for k in ("web", "speech", "pdf")} | {("unverified", None): 150, ("synthetic", None): 150}
-    return ingest(docs(spark, d), budgets, "sangraha:").select("doc_id", F.length("text").alias("chars"))
+    return ingest(docs(spark, d), budgets, "ingested:").select("doc_id", F.length("text").alias("chars"))
 
 
 @query("""SELECT e.item_id, count(*) AS other_items FROM eval_items e JOIN eval_items f ON e.task = f.task AND e.item_id <> f.item_id GROUP BY ALL""")
