@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import model as N
+from ..functions.arrow import slices
 from ..operators.selection import classify, cosine
-from ..session import table
-from .packing import packed
+from ..session import table, written
 from .registry import query
 
 
 def _losses(vocabulary: int, sketch: bool):
     def go(batches):
         model = N.initial(vocabulary)
-        for b in batches:
-            ids, positions, blocks, mask = (b.column(k).to_pylist() for k in range(1, 5))
-            found = [N.gradient(model, *x, training=False) for x in zip(ids, positions, blocks, mask)]
+        for b in (part for whole in batches for part in slices(whole)):
+            sequences = ([x.values.to_numpy(zero_copy_only=k < 3) for k, x in enumerate(row)] for row in zip(*b.columns[1:]))  # a mask may hold nulls
+            found = list(N.scored(model, sequences, config.SKETCH)) if sketch else [N.gradient(model, *x, training=False) for x in sequences]
             cols = [b.column(0), pa.array([n for _, n, _ in found], pa.int32()), pa.array([v for v, _, _ in found], pa.float64())]
             names = ["seq_id", "n", "loss"]
             if sketch:
-                cols.append(pa.array([N.sketched(g).tolist() for _, _, g in found], pa.list_(pa.float64())))
+                cols.append(pa.array([x for _, _, x in found], pa.list_(pa.float64())))
                 names.append("sketch")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -36,7 +36,8 @@ def _vocabulary(spark, d) -> int:
 
 
 def _sequences(spark, d):
-    return packed(spark, d, "input_ids", "position_ids", "attention_block_ids", "loss_mask").select("seq_id", "input_ids", "position_ids", "attention_block_ids", "loss_mask")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
+    return table(spark, d, "packed", "seq_id", "input_ids", "position_ids", "attention_block_ids", "loss_mask").repartition(tasks, "seq_id").dropDuplicates(["seq_id"])
 
 
 @query()
@@ -48,7 +49,7 @@ def model_losses(spark, d):
 @query()
 def candidate_scores(spark, d):
     """Each packed sequence's score: the cosine of its gradient's sketch with the mean sketch of the proxy sequences (those whose id's hash starts with 0), and the class that gives."""
-    made = _sequences(spark, d).mapInArrow(_losses(_vocabulary(spark, d), True), "seq_id string, n int, loss double, sketch array<double>")
+    made = written(_sequences(spark, d).mapInArrow(_losses(_vocabulary(spark, d), True), "seq_id string, n int, loss double, sketch array<double>").select("seq_id", "sketch"), "sketches")  # read twice
     proxy = made.where(F.sha2("seq_id", 256).startswith("0")).select(F.posexplode("sketch").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("x")).orderBy("k").collect()  # as long as a sketch
     direction = F.array(*[F.lit(r.x) for r in proxy]) if proxy else F.lit(None).cast("array<double>")
     score = cosine(F.col("sketch"), direction)

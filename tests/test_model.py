@@ -57,3 +57,59 @@ def test_sketch_equals_the_relational_one(spark):
 def test_no_loss_no_gradient():
     m, (ids, positions, blocks, mask) = N.initial(40, 16), sequence()
     assert N.gradient(m, ids, positions, blocks, mask * 0)[:2] == (0.0, 0)
+
+
+def most_held(sketch, vocabulary=2000, rows=200):
+    """The most bytes that the losses (and sketches) of one batch take, and the rows that come out."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corpusloom import config
+    from corpusloom.plans import models
+
+    N.sketch_plan(N.initial(vocabulary).head.size + vocabulary, config.SKETCH)
+    columns = [pa.array([[int(x) for x in a]] * rows, pa.list_(pa.int32())) for a in sequence(64, vocabulary)]
+    b = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(rows)]), *columns], names=["seq_id", "input_ids", "position_ids", "attention_block_ids", "loss_mask"])
+    tracemalloc.start()
+    try:
+        out = sum(x.num_rows for x in models._losses(vocabulary, sketch)([b]))
+        return tracemalloc.get_traced_memory()[1], out
+    finally:
+        tracemalloc.stop()
+
+
+def test_sketches_of_a_batch_hold_one_gradient_at_a_time():
+    held, out = most_held(True)
+    assert out == 200 and held < 16e6  # 200 gradients are 106 MB
+
+
+def test_scored_equals_gradient_and_sketch(monkeypatch):
+    m, (ids, positions, blocks, mask) = N.initial(40, 16), sequence()
+    none, some = (ids, positions, blocks, mask * 0), (ids, positions, blocks, mask)
+    for tile in (1, 3, 7, 128):
+        monkeypatch.setattr(N, "TILE", tile)
+        for (loss, n, sketch), s in zip(N.scored(m, [some, none, some], 64), [some, none, some], strict=True):
+            want, count, g = N.gradient(m, *s, training=False)
+            assert n == count and abs(loss - want) < 1e-12 and np.abs(sketch - N.sketched(g)).max() < 1e-12
+
+
+def test_candidate_scores_are_those_of_the_gradients(spark, data):
+    import hashlib
+
+    from corpusloom.plans import models
+    from corpusloom.plans.packing import packed
+
+    m = N.initial(models._vocabulary(spark, data))
+    rows = packed(spark, data, "input_ids", "position_ids", "attention_block_ids", "loss_mask").collect()
+    sketches = {r.seq_id: N.sketched(N.gradient(m, r.input_ids, r.position_ids, r.attention_block_ids, r.loss_mask, training=False)[2]) for r in rows}
+    to = np.mean([x for k, x in sketches.items() if hashlib.sha256(k.encode()).hexdigest()[0] == "0"], axis=0)
+    got = models.candidate_scores(spark, data).collect()
+    assert len(got) == len(sketches) and {r.seq_id for r in got} == set(sketches)
+    for r in got:
+        x = sketches[r.seq_id]
+        size = np.linalg.norm(x) * np.linalg.norm(to)
+        score = float(x @ to / size) if size else 0.0  # a sequence that bears no loss
+        assert abs(r.score - score) < 1.1e-6
+        if min(abs(score - 0.15), abs(score + 0.15)) > 1e-9:
+            assert r.classification == ("ACCEPT" if score >= 0.15 else "REJECT" if score <= -0.15 else "DEFER")
