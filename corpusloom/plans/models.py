@@ -20,7 +20,7 @@ def _losses(vocabulary: int, sketch: bool):
         model = N.initial(vocabulary)
         for b in (part for whole in batches for part in slices(whole)):
             sequences = ([x.values.to_numpy(zero_copy_only=k < 3) for k, x in enumerate(row)] for row in zip(*b.columns[1:]))  # a mask may hold nulls
-            found = list(N.scored(model, sequences, config.SKETCH)) if sketch else [N.gradient(model, *x, training=False) for x in sequences]
+            found = list(N.scored(model, sequences, config.SKETCH if sketch else 0))
             cols = [b.column(0), pa.array([n for _, n, _ in found], pa.int32()), pa.array([v for v, _, _ in found], pa.float64())]
             names = ["seq_id", "n", "loss"]
             if sketch:

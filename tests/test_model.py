@@ -84,6 +84,11 @@ def test_sketches_of_a_batch_hold_one_gradient_at_a_time():
     assert out == 200 and held < 16e6  # 200 gradients are 106 MB
 
 
+def test_losses_of_a_batch_hold_no_gradients():
+    held, out = most_held(False)
+    assert out == 200 and held < 16e6  # 200 gradients are 106 MB
+
+
 def test_scored_equals_gradient_and_sketch(monkeypatch):
     m, (ids, positions, blocks, mask) = N.initial(40, 16), sequence()
     none, some = (ids, positions, blocks, mask * 0), (ids, positions, blocks, mask)
@@ -113,3 +118,14 @@ def test_candidate_scores_are_those_of_the_gradients(spark, data):
         assert abs(r.score - score) < 1.1e-6
         if min(abs(score - 0.15), abs(score + 0.15)) > 1e-9:
             assert r.classification == ("ACCEPT" if score >= 0.15 else "REJECT" if score <= -0.15 else "DEFER")
+
+
+def test_model_losses_are_those_of_the_gradients(spark, data):
+    from corpusloom.plans import models
+    from corpusloom.plans.packing import packed
+
+    m = N.initial(models._vocabulary(spark, data))
+    rows = packed(spark, data, "input_ids", "position_ids", "attention_block_ids", "loss_mask").collect()
+    want = {r.seq_id: N.gradient(m, r.input_ids, r.position_ids, r.attention_block_ids, r.loss_mask, training=False)[:2] for r in rows}
+    got = models.model_losses(spark, data).collect()
+    assert len(got) == len(want) and all(r.n == want[r.seq_id][1] and abs(r.loss - want[r.seq_id][0]) < 1.1e-6 for r in got)
